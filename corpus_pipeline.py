@@ -18,7 +18,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     features = space.save(quality.base_features(docs), "features")
     cutoffs = space.save(quality.thresholds(features, table(spark, sf_dir, "labels")), "cutoffs")
     judged = quality.judge(quality.base_features(docs, keep=tuple(columns)), cutoffs)
-    return judged.where("kept").select(*columns)
+    # a generated column: a plain filter would be pushed through the projections, its nested expressions multiplied
+    kept = judged.withColumn("_kept", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))))
+    return kept.where("_kept").select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
