@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import curation, evaluation, legal
+
+PLANS = (evaluation, curation, legal)
+
 
 def queries():
-    return {}
+    return {n: f for p in PLANS for n, f in p.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {n: q for p in PLANS for n, q in p.SQL.items()}
