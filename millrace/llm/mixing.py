@@ -28,8 +28,8 @@ def _let(name: str, struct: str, body: str) -> str:
 
 def _hypergeometric_fold(seed: int) -> str:
     """SQL: from counts (array<bigint>), total, take, lo: how many of each source go left."""
-    up = "cast(p2.q - j + 1 as double) * (p2.n - j + 1) / (cast(j as double) * (p2.N - p2.q - p2.n + j))"
-    down = "cast(j + 1 as double) * (p2.N - p2.q - p2.n + j + 1) / (cast(p2.q - j as double) * (p2.n - j))"
+    up = "cast(p2.q - j + 1 as double) * (p2.n - j + 1) / (cast(j as double) * (p2.tot - p2.q - p2.n + j))"
+    down = "cast(j + 1 as double) * (p2.tot - p2.q - p2.n + j + 1) / (cast(p2.q - j as double) * (p2.n - j))"
     seq_up = "if(p2.hi > p2.m, sequence(p2.m + 1, p2.hi), cast(array() as array<bigint>))"
     seq_down = "if(p2.lo < p2.m, sequence(p2.m - 1, p2.lo), cast(array() as array<bigint>))"
 
@@ -43,20 +43,20 @@ def _hypergeometric_fold(seed: int) -> str:
                 f"'x', if(a.x is null and a.c + a.w * {ratio} >= p3.u, j, a.x)))")
 
     uniform = f"(shiftrightunsigned(xxhash64({seed}L, lo, width, size(acc.xs)), 11) / 9007199254740992D)"
-    p1 = (f"named_struct('N', acc.N, 'q', q, 'n', acc.n, 'u', {uniform}, "
-          "'smin', greatest(0L, acc.n + q - acc.N), 'smax', least(acc.n, q), "
-          "'m', cast(floor(cast(acc.n + 1 as double) * (q + 1) / (acc.N + 2)) as bigint), "
-          "'d', cast(ceil(12 * sqrt(cast(acc.n as double) * q / greatest(acc.N, 1L))) + 30 as bigint))")
-    p2 = ("named_struct('N', p1.N, 'q', p1.q, 'n', p1.n, 'u', p1.u, 'm', greatest(p1.smin, least(p1.smax, p1.m)), "
+    p1 = (f"named_struct('tot', acc.tot, 'q', q, 'n', acc.n, 'u', {uniform}, "
+          "'smin', greatest(0L, acc.n + q - acc.tot), 'smax', least(acc.n, q), "
+          "'m', cast(floor(cast(acc.n + 1 as double) * (q + 1) / (acc.tot + 2)) as bigint), "
+          "'d', cast(ceil(12 * sqrt(cast(acc.n as double) * q / greatest(acc.tot, 1L))) + 30 as bigint))")
+    p2 = ("named_struct('tot', p1.tot, 'q', p1.q, 'n', p1.n, 'u', p1.u, 'm', greatest(p1.smin, least(p1.smax, p1.m)), "
           "'lo', greatest(p1.smin, greatest(p1.smin, least(p1.smax, p1.m)) - p1.d), "
           "'hi', least(p1.smax, greatest(p1.smin, least(p1.smax, p1.m)) + p1.d))")
     p3 = f"named_struct('u', p2.u * (1D + {total(seq_up, up)} + {total(seq_down, down)}))"
     p4 = walk(seq_up, up, "named_struct('c', 1D, 'x', if(1D >= p3.u, p2.m, cast(null as bigint)))")
     p5 = walk(seq_down, down, "p4")
-    out = ("named_struct('N', p2.N - p2.q, 'n', p2.n - coalesce(p5.x, p2.m), "
+    out = ("named_struct('tot', p2.tot - p2.q, 'n', p2.n - coalesce(p5.x, p2.m), "
            "'xs', concat(acc.xs, array(coalesce(p5.x, p2.m))))")
     body = _let("p1", p1, _let("p2", p2, _let("p3", p3, _let("p4", p4, _let("p5", p5, out)))))
-    return ("aggregate(counts, named_struct('N', total, 'n', take, 'xs', cast(array() as array<bigint>)), "
+    return ("aggregate(counts, named_struct('tot', total, 'n', take, 'xs', cast(array() as array<bigint>)), "
             f"(acc, q) -> {body}).xs")
 
 
