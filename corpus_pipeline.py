@@ -15,12 +15,13 @@ from millrace.llm.queries import tokenizer_path
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base test and the certified thresholds of their language."""
     space, columns = Workspace(spark, "quality"), docs.columns
-    features = space.save(quality.base_features(docs), "features")
+    own = docs.select("doc_id", "lang", "text", F.struct(*columns).alias("_doc"))  # so that no name clashes
+    features = space.save(quality.base_features(own), "features")
     cutoffs = space.save(quality.thresholds(features, table(spark, sf_dir, "labels")), "cutoffs")
-    judged = quality.judge(quality.base_features(docs, keep=tuple(columns)), cutoffs)
+    judged = quality.judge(quality.base_features(own, keep=("lang", "_doc")), cutoffs)
     # a generated column: a plain filter would be pushed through the projections, its nested expressions multiplied
     kept = judged.withColumn("_kept", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))))
-    return kept.where("_kept").select(*columns)
+    return kept.where("_kept").select("_doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +35,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 100 bytes or more go; documents left without a word go with them."""
     space = Workspace(spark, "passages")
-    cut = suffix.dedup(docs, space, keep_text=True).where("n_removed > 0").select("doc_id", "kept")
+    cut = suffix.dedup(docs, space, keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_left"))
     cut = space.save(cut, "cut")
-    out = docs.join(cut.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.coalesce("kept", "text")
-    out = out.where(F.col("kept").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", text).select(*docs.columns)
+    out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    out = out.where(F.col("_left").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
+    out = out.withColumn("n_chars", F.when(F.col("_left").isNotNull(), F.length("_left").cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.coalesce("_left", "text")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

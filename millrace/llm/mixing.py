@@ -189,11 +189,16 @@ def mixed_documents(docs: DataFrame, space: Workspace, **options) -> DataFrame:
     A document drawn in part keeps the first words of its text; n_chars, where there is one, follows.
     """
     columns = docs.columns
-    drawn = mix(docs, space, **options).select("*", F.explode("draws").alias("_d"))
-    words = F.slice(F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), F.col("_d.words").cast("int"))
-    text = F.when(F.col("_d.words") < F.col("size"), F.array_join(words, "")).otherwise(F.col("text"))
-    res = drawn.withColumn("_text", text)
+    # the row travels as one column, so that its names clash with none of ours
+    own = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*columns).alias("_doc"))
+    drawn = mix(own, space, **options).select("_doc", "size", F.explode("draws").alias("_d"))
+    words = F.split(F.col("_doc.text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    # what stands before the first word is an element without one
+    lead = F.col("_doc.text").rlike(r"^[\x20\x09-\x0D]").cast("int")
+    head = F.array_join(F.slice(words, F.lit(1), F.col("_d.words").cast("int") + lead), "")
+    text = F.when(F.col("_d.words") < F.col("size"), head).otherwise(F.col("_doc.text"))
+    out = {c: F.col("_doc").getField(c) for c in columns} | {"text": text}
     if "n_chars" in columns:
-        res = res.withColumn("n_chars", F.length("_text").cast("long"))
-    res = res.drop("text").withColumnRenamed("_text", "text")
-    return res.repartition("_d.shard").sortWithinPartitions("_d.shard", "_d.order_key").select(*columns)
+        out["n_chars"] = F.when(F.col("_d.words") < F.col("size"), F.length(head).cast("long")).otherwise(F.col("_doc.n_chars"))
+    dealt = drawn.repartition("_d.shard").sortWithinPartitions("_d.shard", "_d.order_key")
+    return dealt.select(*[c.alias(n) for n, c in out.items()])

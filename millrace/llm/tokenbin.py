@@ -338,7 +338,7 @@ def write_ids(docs: DataFrame, space: Workspace, tokenizer: str, end_id: int = 2
         dealt = chunks.mapInArrow(_one_document_each(kind), "doc long, size long, data binary").repartitionByRange(
             n, F.asc_nulls_first("doc")).sortWithinPartitions(F.asc_nulls_first("doc"), "size", "data")
         chunks = space.save(dealt.mapInArrow(_chunk_again, _CHUNK_SCHEMA), "chunks-in-order")
-        order = chunks.select("part").distinct().withColumn("file", F.col("part"))
+        order = chunks.select("part").distinct().withColumn("file", F.col("part").cast("int"))
     else:
         order = parts.withColumn("file", F.row_number().over(W.orderBy(F.asc_nulls_first("first"), "last"))).select("part", "file")
     blocks = chunks.select("part", "seq", "docs", "sizes", "data").mapInArrow(
