@@ -9,12 +9,14 @@ that Spark's commit protocol covers a lost executor.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,10 +27,14 @@ from .common import Workspace, with_small
 
 #: Ids between two bit offsets, and ids after which a block is closed.
 STRIDE, BLOCK = 128, 1 << 17
-#: Pieces of text that a worker keeps with their ids.
-CACHE = 1_000_000
-
-_EDGE = re.compile(r" \s| $")
+#: Pieces of text that a worker keeps with their ids, and bytes of text that it takes at a time.
+CACHE, SLICE = 1_000_000, 1 << 23
+#: Ascending runs of documents that a task writes apart (each file it reads is one, if the table is in order).
+RUNS = 4096
+
+#: A space that white space or nothing follows; the class holds all that str.isspace() does.
+_EDGE = r" [\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]| $"
+_DOTS = {".", ","}
 _LINE = re.compile(r"(\S+)\n(\S+)")
 _WORKERS: dict = {}
 
@@ -52,20 +58,20 @@ class PieceTokenizer:
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
         self.leads[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
-    def _many(self, pieces: list[str]) -> list[bytes]:
+    def _many(self, pieces: list[str], into: dict[str, bytes]) -> None:
         """Ids of pieces with a space in front: they are encoded as one text, and each begins at a token with a space."""
-        out: dict[str, bytes] = {}
-        whole = [p for p in pieces if " " not in p]
+        rest = [p for p in pieces if " " in p]
+        whole = [p for p in pieces if " " not in p] if rest else pieces
         texts = [whole[a : a + 512] for a in range(0, len(whole), 512)]
         for own, e in zip(texts, self.t.encode_batch_fast([" " + " ".join(x) for x in texts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             at = np.flatnonzero(self.leads[ids])
             if len(at) == len(own):
-                data, at = ids.tobytes(), [*(at * 4).tolist(), 4 * len(ids)]
-                out.update((p, data[i:j]) for p, i, j in zip(own, at[:-1], at[1:], strict=True))
-        rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, self._library([" " + p for p in rest]), strict=True))
-        return [out[p] for p in pieces]
+                at = [*(at * 4).tolist(), 4 * len(ids)]
+                into.update(zip(own, map(ids.tobytes().__getitem__, map(slice, at[:-1], at[1:])), strict=True))
+            else:
+                rest += own
+        into.update(zip(rest, self._library([" " + p for p in rest]), strict=True))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -73,57 +79,94 @@ class PieceTokenizer:
     @staticmethod
     def _cut(text: str) -> list[str]:
         parts = text.split(" ")
-        if _EDGE.search(text):  # white space in runs stays with what stands before it
-            out = parts[:1]
-            for p in parts[1:]:
-                if not p or p[0].isspace():
-                    out[-1] += " " + p
-                else:
-                    out.append(p)
-            return out
-        return parts
+        out = parts[:1]
+        for p in parts[1:]:  # white space in runs stays with what stands before it
+            if not p or p[0].isspace():
+                out[-1] += " " + p
+            else:
+                out.append(p)
+        return out
 
-    @staticmethod
-    def _core(p: str) -> bool:
-        return len(p) > 1 and p[-1] in ".," and p[-2].isalpha()
-
-    def _learn(self, spaced: set[str], plain: set[str]) -> None:
-        lines = {}
-        for own, pieces in ((self.spaced, spaced), (self.plain, plain)):
-            for p in list(pieces):
-                if "\n" in p and (m := _LINE.fullmatch(p)):
-                    lines[id(own), p] = (own, p, m[1], m[2])
-                    pieces.discard(p)
-        for own, _, a, b in lines.values():
-            (spaced if own is self.spaced else plain).add(a)
-            plain.add(b)
-        for own, pieces, encode in ((self.spaced, spaced, self._many), (self.plain, plain, self._library)):
-            new = {p for p in pieces if p not in own}
-            cores = {p for p in new if self._core(p)}
-            need = list((new - cores) | {p[:-1] for p in cores if p[:-1] not in own})
-            own.update(zip(need, encode(need), strict=True))
+    def _learn(self, spaced: list[str], plain: list[str]) -> None:
+        """Take in pieces that aren't known yet."""
+        lines, tails = [], set()
+        more: dict[int, set[str]] = {0: set(), 1: set()}
+        for k, (own, pieces) in enumerate(((self.spaced, spaced), (self.plain, plain))):
+            for p in (p for p in pieces if "\n" in p):
+                if m := _LINE.fullmatch(p):
+                    lines.append((own, p, m[1], m[2]))
+                    tails.add(m[2])
+                    more[k].add(m[1])
+        skip = {id(self.spaced): set(), id(self.plain): set()}
+        for own, p, _, _ in lines:
+            skip[id(own)].add(p)
+        more[1] |= tails
+        for k, (own, pieces) in enumerate(((self.spaced, spaced), (self.plain, plain))):
+            if out := skip[id(own)]:
+                pieces = [p for p in pieces if p not in out]
+            if more[k]:
+                pieces = list({*pieces, *(p for p in more[k] if p not in own)})
+            cores = [p for p in pieces if p[-1:] in _DOTS and p[-2:-1].isalpha()]
+            if cores:
+                need = set(pieces).difference(cores)
+                need.update(p[:-1] for p in cores if p[:-1] not in own)
+                pieces = list(need)
+            if own is self.spaced:
+                self._many(pieces, own)
+            else:
+                own.update(zip(pieces, self._library(pieces), strict=True))
             if cores:
                 dots = dict(zip(".,", self._library([".", ","]), strict=True))
-                own.update((p, own[p[:-1]] + dots[p[-1]]) for p in cores)
+                own.update([(p, own[p[:-1]] + dots[p[-1]]) for p in cores])
         if lines:
             newline = self._library(["\n"])[0]
-            for own, p, a, b in lines.values():
+            for own, p, a, b in lines:
                 own[p] = own[a] + newline + self.plain[b]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian 32-bit numbers."""
-        cut = [self._cut(t) for t in texts]
-        first = [c.pop(0) for c in cut]
-        spaced, plain = self.spaced, self.plain
-        a, b = set().union(*cut), set(first)
-        if len(spaced) + len(plain) > CACHE:
-            spaced.clear()
-            plain.clear()
-        a, b = a.difference(spaced), b.difference(plain)
-        if a or b:
-            self._learn(a, b)
-        get = spaced.__getitem__
-        return [plain[f] + b"".join(map(get, c)) for f, c in zip(first, cut, strict=True)]
+    def _pieces(self, texts: pa.Array) -> pa.ListArray:
+        runs = pc.match_substring_regex(texts, _EDGE)
+        if not pc.any(runs).as_py():
+            return pc.split_pattern(texts, " ")
+        at = runs.to_numpy(zero_copy_only=False)
+        both = [pc.split_pattern(texts.filter(pc.invert(runs)), " "),
+                pa.array([self._cut(t) for t in texts.filter(runs).to_pylist()], pa.list_(texts.type))]
+        return pa.concat_arrays(both).take(pa.array(np.argsort(np.concatenate([np.flatnonzero(~at), np.flatnonzero(at)]))))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), one after the other, and how many each text has."""
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        lists = self._pieces(pc.fill_null(texts, ""))
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        starts = np.cumsum(n) - n
+        flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        index, keys = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        first = flat.take(pa.array(starts)).to_pylist()  # no space stands before these
+        later = np.ones(len(index), bool)
+        later[starts] = False
+        used = np.zeros(len(keys), bool)
+        used[index[later]] = True
+        if not used.all():  # no space stands before some of them anywhere
+            place = np.cumsum(used) - 1
+            index, keys = place[index], keys.filter(pa.array(used))
+        keys = keys.to_numpy(zero_copy_only=False).tolist()
+        if len(self.spaced) + len(self.plain) > CACHE:  # what this slice holds is the likeliest to come again
+            self.spaced = {k: self.spaced[k] for k in keys if k in self.spaced}
+            self.plain = {}
+        values = list(map(self.spaced.get, keys))
+        unknown = [i for i, v in enumerate(values) if v is None]
+        self._learn([keys[i] for i in unknown], list(set(first).difference(self.plain)))
+        for i in unknown:
+            values[i] = self.spaced[keys[i]]
+        parts = [*values, *map(self.plain.__getitem__, first)]
+        index[starts] = np.arange(len(keys), len(parts))
+        known = np.frombuffer(b"".join(parts), "<u4")
+        width = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        size = width[index]
+        end = np.cumsum(size)
+        ids = known[np.arange(end[-1]) + np.repeat((np.cumsum(width) - width)[index] - end + size, size)]
+        return ids, np.add.reduceat(size, starts)
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -221,26 +264,42 @@ def _tokenize(definition, end_id: int, vocabulary: int):
         if key not in _WORKERS:
             _WORKERS.clear()
             _WORKERS[key] = PieceTokenizer(definition.value)
-        own, part, seq = _WORKERS[key], TaskContext.get().partitionId(), 0
-        counts = np.zeros(vocabulary, np.int64)
-        end = np.array([end_id], "<u4").tobytes()
-        docs, ids, size = [], [], 0
+        own, part, seq = _WORKERS[key], TaskContext.get().partitionId() * RUNS, 0
+        counts, last_part = np.zeros(vocabulary, np.int64), part + RUNS - 1
+        docs, ids, sizes, size = [], [], [], 0
+
+        def block():
+            data = zstandard.compress(np.concatenate(ids).astype(kind).tobytes(), 1)
+            return _rows([(0, part, seq, docs, sizes, data)], *_CHUNK)
+
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                names = b.column(0).slice(at, 256).to_pylist()
-                for doc, x in zip(names, own.encode([t or "" for t in b.column(1).slice(at, 256).to_pylist()]), strict=True):
+            length = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64)
+            group = np.cumsum(length) // SLICE
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                gc.disable()  # many small objects, no cycles
+                found, n = own.encode(b.column(1).slice(lo, hi - lo))
+                gc.enable()
+                end = np.cumsum(n + 1)
+                every = np.full(int(end[-1]) if len(end) else 0, end_id, np.uint32)
+                inner = np.ones(len(every), bool)
+                inner[end - 1] = False
+                every[inner] = found
+                counts += np.bincount(every, minlength=vocabulary)
+                at = 0
+                for doc, stop in zip(b.column(0).slice(lo, hi - lo).to_pylist(), end.tolist(), strict=True):
+                    falls = bool(docs) and docs[-1] is not None and (doc is None or doc < docs[-1]) and part < last_part
+                    if falls or size >= BLOCK:
+                        yield block()
+                        docs, ids, sizes, size, seq = [], [], [], 0, seq + 1
+                        part += falls
                     docs.append(doc)
-                    ids.append(x + end)
-                    size += len(ids[-1]) // 4
-                    if size >= BLOCK:
-                        all_ids = np.frombuffer(b"".join(ids), "<u4")
-                        counts += np.bincount(all_ids, minlength=vocabulary)
-                        yield _rows([(0, part, seq, docs, [len(x) // 4 for x in ids], zstandard.compress(all_ids.astype(kind).tobytes(), 1))], *_CHUNK)
-                        docs, ids, size, seq = [], [], 0, seq + 1
+                    ids.append(every[at:stop])
+                    sizes.append(stop - at)
+                    size += stop - at
+                    at = stop
         if docs:
-            all_ids = np.frombuffer(b"".join(ids), "<u4")
-            counts += np.bincount(all_ids, minlength=vocabulary)
-            yield _rows([(0, part, seq, docs, [len(x) // 4 for x in ids], zstandard.compress(all_ids.astype(kind).tobytes(), 1))], *_CHUNK)
+            yield block()
         used = np.flatnonzero(counts)
         if len(used):
             yield _rows([(1, part, -1, used.tolist(), counts[used].tolist(), None)], *_CHUNK)
