@@ -29,7 +29,7 @@ from .common import Workspace, with_small
 STRIDE, BLOCK = 128, 1 << 17
 #: Pieces of text that a worker keeps with their ids, and bytes of text that it takes at a time.
 CACHE, SLICE = 1_000_000, 1 << 23
-#: Ascending runs of documents that a task writes apart (each file it reads is one, if the table is in order).
+#: Ascending runs of documents that a task writes apart (each split of a file is one, if the table is in order).
 RUNS = 4096
 
 #: A space that white space or nothing follows; the class holds all that str.isspace() does.
@@ -266,7 +266,7 @@ def _tokenize(definition, end_id: int, vocabulary: int):
             _WORKERS[key] = PieceTokenizer(definition.value)
         own, part, seq = _WORKERS[key], TaskContext.get().partitionId() * RUNS, 0
         counts, last_part = np.zeros(vocabulary, np.int64), part + RUNS - 1
-        docs, ids, sizes, size = [], [], [], 0
+        docs, ids, sizes, size, last_split = [], [], [], 0, None
 
         def block():
             data = zstandard.compress(np.concatenate(ids).astype(kind).tobytes(), 1)
@@ -287,8 +287,11 @@ def _tokenize(definition, end_id: int, vocabulary: int):
                 every[inner] = found
                 counts += np.bincount(every, minlength=vocabulary)
                 at = 0
-                for doc, stop in zip(b.column(0).slice(lo, hi - lo).to_pylist(), end.tolist(), strict=True):
-                    falls = bool(docs) and docs[-1] is not None and (doc is None or doc < docs[-1]) and part < last_part
+                names, splits = (b.column(k).slice(lo, hi - lo).to_pylist() for k in (0, 2))
+                for doc, split, stop in zip(names, splits, end.tolist(), strict=True):
+                    falls = bool(docs) and part < last_part and (
+                        split != last_split or docs[-1] is not None and (doc is None or doc < docs[-1]))
+                    last_split = split
                     if falls or size >= BLOCK:
                         yield block()
                         docs, ids, sizes, size, seq = [], [], [], 0, seq + 1
@@ -369,7 +372,8 @@ def write_ids(docs: DataFrame, space: Workspace, tokenizer: str, end_id: int = 2
     vocabulary = max(Tokenizer.from_str(definition).get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     sent = spark.sparkContext.broadcast(definition)
-    chunks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenize(sent, end_id, vocabulary), _CHUNK_SCHEMA)
+    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())  # a task reads splits of several files
+    chunks = docs.select(F.col("doc_id").cast("long"), "text", split.alias("split")).mapInArrow(_tokenize(sent, end_id, vocabulary), _CHUNK_SCHEMA)
     chunks = space.save(chunks, "chunks")
     # at most one row for each id of the vocabulary comes to the driver
     total = chunks.where("kind = 1").select(F.explode(F.arrays_zip("docs", "sizes")).alias("x")).groupBy("x.docs").agg(
