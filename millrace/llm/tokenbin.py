@@ -384,9 +384,10 @@ def write_ids(docs: DataFrame, space: Workspace, tokenizer: str, end_id: int = 2
     limit = max(12, int(np.ceil(np.log2(max(2, (counts > 0).sum())))) + 2)
     lengths = code_lengths(counts, limit)
     chunks = chunks.where("kind = 0")
+    rising = F.forall(F.sequence(F.lit(1), F.greatest(F.size("docs") - 1, F.lit(1))),
+                      lambda i: F.coalesce(F.get("docs", i) >= F.get("docs", i - 1), F.get("docs", i - 1).isNull()))
     ordered = chunks.select(
-        F.forall(F.sequence(F.lit(1), F.greatest(F.size("docs") - 1, F.lit(1))),
-                 lambda i: F.coalesce(F.get("docs", i) >= F.get("docs", i - 1), F.get("docs", i - 1).isNull())).alias("rising"),
+        ((F.size("docs") < 2) | rising).alias("rising"),  # a long document may be a block of its own
         F.get("docs", F.lit(0)).alias("first"), F.element_at("docs", -1).alias("last"), "part", "seq")
     inside = W.partitionBy("part").orderBy("seq")
     gap = ordered.withColumn("before", F.lag("last").over(inside)).groupBy("part").agg(
@@ -414,7 +415,7 @@ def write_ids(docs: DataFrame, space: Workspace, tokenizer: str, end_id: int = 2
     return path
 
 
-def _read_blocks(lengths):
+def _read_blocks(lengths, keep_ids: bool):
     def run(batches):
         decoder = None
         names = ["file", "seq", "at", "doc_id", "before", "n_tokens", "ids_crc32", "ids"]
@@ -426,7 +427,7 @@ def _read_blocks(lengths):
                 at, out = 0, []
                 for k, (doc, n) in enumerate(zip(row["docs"], row["sizes"], strict=True)):
                     own = ids[at : at + n].tobytes()
-                    out.append((row["file"], row["seq"], k, doc, at, n, zlib.crc32(own), own))
+                    out.append((row["file"], row["seq"], k, doc, at, n, zlib.crc32(own), own if keep_ids else None))
                     at += n
                 yield _rows(out, names, kinds)
 
@@ -444,7 +445,7 @@ def read_ids(spark, space: Workspace, path: str, keep_ids: bool = False) -> Data
         "inner", F.coalesce(F.sum("n_ids").over(W.partitionBy("file").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     starts = space.save(starts.join(base, "file").select(
         F.col("file").cast("long"), "seq", (F.col("base") + F.col("inner")).alias("base")), "starts")
-    docs = blocks.mapInArrow(_read_blocks(spark.sparkContext.broadcast(lengths)),
+    docs = blocks.mapInArrow(_read_blocks(spark.sparkContext.broadcast(lengths), keep_ids),
                              "file long, seq long, at long, doc_id long, before long, n_tokens long, ids_crc32 long, ids binary")
     if not keep_ids:
         docs = docs.drop("ids")
