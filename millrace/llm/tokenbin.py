@@ -28,7 +28,7 @@ from .common import Workspace, with_small
 #: Ids between two bit offsets, and ids after which a block is closed.
 STRIDE, BLOCK = 128, 1 << 17
 #: Pieces of text that a worker keeps with their ids, and bytes of text that it takes at a time.
-CACHE, SLICE = 1_000_000, 1 << 23
+CACHE, SLICE = 800_000, 1 << 21
 #: Ascending runs of documents that a task writes apart (each split of a file is one, if the table is in order).
 RUNS = 4096
 
