@@ -266,6 +266,23 @@ def test_token_ids(spark, docs, empty):
     assert tokenbin.read_ids(spark, space, tokenbin.write_ids(empty, space, path)).collect() == []
 
 
+def test_piece_tokenizer_equals_the_library():
+    P = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        own = tokenbin.PieceTokenizer(f.read())
+    rng = random.Random(1)
+    bits = ["a", "B", "é", "  ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\u3000", "\r\n", ".", ",", "23", "'s", "日本", "a.", "x.\ny", ""]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(3000)] + [None, "", " ", "  ", "\n"]
+    for at in range(0, len(texts), 500):  # later slices meet pieces that are known by then
+        part = texts[at : at + 500]
+        ids, n = own.encode(pa.array(part, pa.string()))
+        want = [e.ids for e in own.t.encode_batch([x or "" for x in part], add_special_tokens=False)]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    assert [len(x) for x in own.encode(pa.array([], pa.string()))] == [0, 0]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 700])
 def test_huffman(n):
     rng = np.random.default_rng(n)
