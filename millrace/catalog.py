@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import curation, evaluation, legal
+from .plans import curation, evaluation, legal, records
 
-PLANS = (evaluation, curation, legal)
+PLANS = (evaluation, curation, legal, records)
 
 
 def queries():
