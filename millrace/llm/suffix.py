@@ -21,6 +21,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,8 +182,8 @@ def _mark_repeats(batches):
         yield _emit(out, names, kinds)
 
 
-#: kind 0: a segment for a shard; 1: coverage known in the task (doc, start, stop of windows); 2: a window, by its hash;
-#: 3: a crowded minimizer.
+#: kind 0: a segment for a shard; 1: coverage known in the task (doc, start, stop of windows); 2: a window, with its digest
+#: as key; 3: a crowded minimizer. Kinds 1 and 2 need no neighbours: they're dealt by place, not by minimizer.
 _B = (["bucket", "kind", "h", "key", "doc", "start", "stop", "data"],
       [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])
 _B_SCHEMA = "bucket int, kind int, h long, key binary, doc long, start int, stop int, data binary"
@@ -217,11 +218,11 @@ def _segments(buckets: int):
             for x, n in count.items():
                 if n > CROWDED:
                     rows.append((x % buckets, 3, x, None, 0, 0, 0, None))
-            for key, (doc, s, e, x, data) in first.items():
+            for doc, s, e, x, data in first.values():
                 if count[x] > CROWDED:
                     rows += _windows(x % buckets, x, doc, s, data)
                 else:
-                    rows.append((x % buckets, 0, x, key, doc, s, e, data))
+                    rows.append((x % buckets, 0, x, None, doc, s, e, data))
                 if len(rows) > 20_000:
                     yield _emit(rows, *_B)
                     rows = []
@@ -323,7 +324,11 @@ def _cover(batches):
         if b is None:
             groups, last = [held], True
         else:
-            held += list(zip(*[b.column(c).to_pylist() for c in ("h", "kind", "key", "doc", "start", "stop", "data")], strict=True))
+            done = pc.is_in(b.column("kind"), pa.array([1, 2], pa.int32()))
+            if (out := b.filter(done).select(_C[0])).num_rows:
+                yield out
+            b = b.filter(pc.invert(done))
+            held += list(zip(*[b.column(c).to_pylist() for c in ("h", "kind", "doc", "start", "stop", "data")], strict=True))
             last = False
             cut = len(held)
             while cut and held[cut - 1][0] == held[-1][0]:
@@ -333,23 +338,19 @@ def _cover(batches):
         for group in groups:
             for h, members in itertools.groupby(group, key=lambda x: x[0]):
                 crowded, firsts = False, {}
-                for _, kind, key, doc, start, stop, data in members:
+                for _, kind, doc, start, stop, data in members:
                     if kind == 3:  # comes before the segments
                         crowded = True
-                    elif kind == 1:
-                        out.append((None, doc, start, stop))
-                    elif kind == 2:
-                        out.append((key, doc, start, stop))
                     elif crowded:
                         out += [(k, d, s, e) for _, _, _, k, d, s, e, _ in _windows(0, h, doc, start, data)]
-                    elif key not in firsts:
-                        firsts[key] = (doc, start, stop, data)
+                    elif data not in firsts:
+                        firsts[data] = (doc, start, stop, data)
                     else:
-                        old, new = firsts[key], (doc, start, stop, data)
+                        old, new = firsts[data], (doc, start, stop, data)
                         late = max(old, new)
                         if old[:2] != new[:2]:
                             out.append((None, *late[:3]))
-                        firsts[key] = min(old, new)
+                        firsts[data] = min(old, new)
                 if len(firsts) > 1:
                     rows += firsts.values()
                     size += sum(len(x[3]) for x in firsts.values())
@@ -381,7 +382,8 @@ def repeated_spans(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFr
     some = marked.where("places is not null").select("doc", "text", "places")
     segments = some.mapInArrow(_segments(buckets), _B_SCHEMA)
     # a crowded minimizer's note sorts before its segments
-    segments = segments.select("*", (-F.col("kind")).alias("o")).repartition(n_parts, "bucket").sortWithinPartitions("h", "o").drop("o")
+    dealt = F.when(F.col("kind").isin(1, 2), F.xxhash64("doc", "start")).otherwise(F.col("bucket"))
+    segments = segments.select("*", (-F.col("kind")).alias("o")).repartition(n_parts, dealt).sortWithinPartitions("h", "o").drop("o")
     covered = space.save(segments.mapInArrow(_cover, _C_SCHEMA), "covered")
     windows = covered.where("key is not null")
     least = windows.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("m"), F.count("*").alias("n")).where("n > 1")
