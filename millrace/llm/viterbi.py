@@ -39,7 +39,7 @@ class Model:
         self.unknown = min(real, default=0.0) - 10.0
         by_size: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
-            if i not in special and p and not p.startswith("<"):
+            if i not in special and p:
                 by_size.setdefault(len(p), []).append(i)
         self.tables = {}
         for size, ids in by_size.items():

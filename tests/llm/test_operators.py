@@ -225,6 +225,14 @@ def test_sentencepiece(spark, docs, empty):
     assert viterbi.encode(empty, path).collect() == []
 
 
+def test_every_ordinary_piece_is_in_the_tables():
+    P = pytest.importorskip("public_tokenizers")
+    model = viterbi.Model.load(P.path("piece_bpe_32k.model"))
+    code = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32).reshape(1, -1)
+    for word, piece in (("a<b", "<"), ("x</p>", "</")):
+        assert model.pieces.index(piece) in viterbi.segment(model, code(word))[0]
+
+
 def test_passages(spark, docs):
     got = chaining.passages(docs, Workspace(spark, "t")).collect()
     pairs = {(r.doc_id, r.other_doc_id): r for r in got}
