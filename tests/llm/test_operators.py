@@ -225,6 +225,20 @@ def test_sentencepiece(spark, docs, empty):
     assert viterbi.encode(empty, path).collect() == []
 
 
+def test_sentencepiece_equals_the_library():
+    P = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), viterbi.Encoder(viterbi.Model.load(path))
+    rng = random.Random(4)
+    bits = ["the", "un", "believ", "able", "a", "B", "é", " ", " ", "   ", "\n", "\t", "<", "</", "p>", "<!--", "<=", "日本", "語", "'s", "23", "😀", "\u3000", "<s>", "<0x0A>", viterbi.MARK]
+    texts = ["the a<b and x</p>", "a<b", "x</p>", " <", "naïveté", ""] + ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(2000)]
+    texts += ["".join(rng.choices("abcdethé<日\n", k=n)) for n in (100, 127, 128, 129, 130, 1000, 3000)]
+    want = library.encode(texts)
+    assert [np.frombuffer(x, "<i4").tolist() for x in own.encode(texts)] == want
+
+
 def test_every_ordinary_piece_is_in_the_tables():
     P = pytest.importorskip("public_tokenizers")
     model = viterbi.Model.load(P.path("piece_bpe_32k.model"))
