@@ -5,7 +5,8 @@ buckets: either under exact keys (with at most 3 differing bits, at least 3 of 6
 nearest of many reference vectors. Within a bucket the precomputed distances to the reference fingerprints (pivots)
 discard pairs: two fingerprints that differ in d bits have distances to any pivot that differ by d at most. Survivors
 are verified bit by bit. A bucket yields a star for each of its components, not its pairs; the stars are joined by
-distributed components. A bucket above LIMIT rows is keyed again by further bits, so that none grows with the data.
+distributed components. No bucket grows with the data: above LIMIT rows it is keyed again by further bits or, where keys
+miss pairs, dealt into blocks of which every two meet, so that all its pairs are compared.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import Workspace, components
 
 #: Rows of a bucket that is searched directly; larger ones are keyed again.
 LIMIT = 256
+#: Blocks of a bucket that isn't keyed again have so many times LIMIT rows.
+BLOCK = 16
 PIVOTS = 24
 
 
@@ -141,10 +144,11 @@ class NearestReferenceKeys:
 
     A sketch is compared with groups of 64 reference vectors and their opposites. Documents of similarity 0.8 agree
     about a group nine times in twenty, others once in 128 times; three groups make a key, and of 40 keys some one is
-    shared but for about one pair in fifty (at 0.85, one in a thousand). Crowded keys get the nearest of further groups.
+    shared but for about one pair in fifty (at 0.85, one in a thousand). Nearest vectors of further groups would miss
+    pairs of a crowded key, so its rows are all compared.
     """
 
-    levels = 3
+    levels = 1
 
     def __init__(self, tables: int = 40, groups: int = 3, seed: int = 7):
         self.tables, self.groups, self.seed = tables, groups, seed
@@ -162,12 +166,11 @@ class NearestReferenceKeys:
 
     def keys(self, fps: np.ndarray, level: int, key: np.ndarray | None):
         rows = np.arange(len(fps))
-        tables, groups = (self.tables, self.groups) if level == 1 else (6, level - 1)
-        near = self._nearest(fps, tables * groups, self.seed + level)
-        for t in range(tables):
+        near = self._nearest(fps, self.tables * self.groups, self.seed + level)
+        for t in range(self.tables):
             out = np.full(len(fps), t, np.uint64)
-            for g in range(groups):
-                out = (out << np.uint64(7)) | near[:, t * groups + g]
+            for g in range(self.groups):
+                out = (out << np.uint64(7)) | near[:, t * self.groups + g]
             yield rows, out
 
 
@@ -242,6 +245,26 @@ def link_rows(bucket: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarr
     return order[label[rows]], order[rows]
 
 
+def link_crowd(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """link_rows() for one large bucket: a component grows from its first row by what is near and not yet reached."""
+    pad = -fps.shape[1] % 8
+    x = np.ascontiguousarray(np.pad(fps, ((0, 0), (0, pad)))).view(np.uint64)
+    left, a, b = np.arange(len(x)), [], []
+    while len(left):
+        first, left = int(left[0]), left[1:]
+        queue = [first]
+        while queue and len(left):
+            near = np.bitwise_count(x[left] ^ x[queue.pop()]).sum(axis=1, dtype=np.int32) <= limit
+            if near.any():
+                queue += left[near].tolist()
+                a.append(np.full(int(near.sum()), first))
+                b.append(left[near])
+                left = left[~near]
+    if not a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _bucket_links(limit: int, width: int):
     def run(batches):
         held = None
@@ -261,7 +284,15 @@ def _bucket_links(limit: int, width: int):
             ids = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "key2")], axis=1)
             bucket = np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]).any(axis=1))])
             node = part.column("node").to_numpy(zero_copy_only=False)
-            a, c = link_rows(bucket, _matrix(part.column("fp"))[:, :width], limit)
+            fps = _matrix(part.column("fp"))[:, :width]
+            sizes = np.bincount(bucket)
+            few = np.flatnonzero(sizes[bucket] <= 256)
+            a, c = (few[x] for x in link_rows(bucket[few], fps[few], limit))
+            ends = np.cumsum(sizes)
+            for k in np.flatnonzero(sizes > 256):
+                lo = ends[k] - sizes[k]
+                more = link_crowd(fps[lo : ends[k]], limit)
+                a, c = np.concatenate([a, more[0] + lo]), np.concatenate([c, more[1] + lo])
             pairs = np.unique(np.stack([node[a], node[c]], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -280,7 +311,13 @@ def links(nodes: DataFrame, space: Workspace, limit: int, keyer, width: int = 8)
         keyed = rows.mapInArrow(_key_rows(keyer, level), schema)
         counts = space.save(keyed.groupBy("key", "key2").agg(F.count("*").alias("n")).where("n > 1"), f"counts{level}")
         last = level == keyer.levels
-        fit = keyed.join(counts if last else counts.where(F.col("n") <= LIMIT), ["key", "key2"]).drop("n").join(nodes, "node")
+        fit = keyed.join(counts if last else counts.where(F.col("n") <= LIMIT), ["key", "key2"])
+        if last:  # each row of a bucket of several blocks comes to the meetings of its own block with every one
+            blocks = F.ceil(F.col("n") / (BLOCK * LIMIT)).cast("int")
+            own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
+            fit = fit.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn(
+                "key2", F.when(blocks > 1, F.xxhash64("key2", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("key2")))
+        fit = fit.select("key", "key2", "node").join(nodes, "node")
         fit = fit.repartition(n_parts, "key", "key2").sortWithinPartitions("key", "key2")
         found.append(space.save(fit.mapInArrow(_bucket_links(limit, width), "a long, b long").distinct(), f"links{level}"))
         crowded = counts.where(F.col("n") > LIMIT)

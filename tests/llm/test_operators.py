@@ -132,6 +132,42 @@ def test_similar_finds_near_copies(spark, docs):
     assert got == {1000: 1000, 1001: 1000, 1002: 1002}
 
 
+def test_similar_recall_does_not_depend_on_crowding(spark):
+    rng = random.Random(8)
+
+    def changed(base, share):
+        return [f"x{rng.random()}" if rng.random() < share else w for w in base]
+
+    texts = []
+    for _ in range(100):  # pairs of similarity 0.8 or so
+        base = [f"w{rng.randint(0, 10**9)}" for _ in range(300)]
+        texts += [base, changed(base, 0.022)]
+    template = [f"w{rng.randint(0, 10**9)}" for _ in range(300)]
+    texts += [changed(template, 0.03) for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = []
+    for limit in (10**6, 1):
+        simhash.LIMIT, old = limit, simhash.LIMIT
+        try:
+            got.append({r.doc_id: r.component_id for r in simhash.similar(docs, Workspace(spark, "t")).collect()})
+        finally:
+            simhash.LIMIT = old
+    assert got[0] == got[1]
+    assert sum(got[0][i] == got[0][i + 1] for i in range(0, 200, 2)) > 60
+
+
+@pytest.mark.parametrize("spread", [30, 60, 120])
+def test_link_crowd(spread):
+    rng = np.random.default_rng(spread)
+    fps = np.repeat(rng.integers(0, 256, (20, 64), dtype=np.uint8), 20, axis=0)
+    for f in fps:
+        at = rng.integers(0, 512, spread)
+        np.bitwise_xor.at(f, at // 8, (1 << at % 8).astype(np.uint8))
+    near = simhash.hamming(fps[:, None], fps[None]) <= 86
+    want = simhash._union(len(fps), *np.nonzero(np.triu(near, 1)))
+    assert (simhash._union(len(fps), *simhash.link_crowd(fps, 86)) == want).all()
+
+
 def test_mixing(spark, docs, empty):
     def run(d):
         m = mixing.mix(d.select("doc_id", "source", "text"), Workspace(spark, "t"), docs_per_block=3, words_per_shard=700)
