@@ -34,13 +34,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 100 bytes or more go; documents left without a word go with them."""
-    space = Workspace(spark, "passages")
-    cut = suffix.dedup(docs, space, keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_left"))
+    space, columns = Workspace(spark, "passages"), docs.columns
+    docs = suffix.numbered(docs, space)
+    cut = suffix.dedup(docs, space, keep_text=True).where("n_removed > 0").select(F.col(suffix.ROW).alias("_id"), F.col("kept").alias("_left"))
     cut = space.save(cut, "cut")
-    out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    out = docs.join(cut, F.col(suffix.ROW) == F.col("_id"), "left")
     out = out.where(F.col("_left").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumn("n_chars", F.when(F.col("_left").isNotNull(), F.length("_left").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.coalesce("_left", "text")).select(*docs.columns)
+    return out.withColumn("text", F.coalesce("_left", "text")).select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ minimizer: the leftmost of its GRAM-byte substrings with the least hash. Equal w
 3. the different segments that share minimizers meet in a shard, whose suffix array, LCP and longest-previous-factor
    array (previous and next smaller positions in suffix order) tell which windows occur earlier.
 
-Order is (doc_id, start). A minimizer with many different segments in one task has its windows compared one by one by a
+Order is (row, start), rows numbered by (doc_id, text hash). A minimizer with many different segments in one task has its windows compared one by one by a
 distributed minimum instead, and so has it in every task: no shard gathers an unbounded group.
 """
 
@@ -32,8 +32,8 @@ LENGTH, GRAM = 100, 28
 SPAN = LENGTH - GRAM + 1
 #: Different segments of one minimizer in a task beyond which it is crowded.
 CROWDED = 64
-#: Document number that stands for a null doc_id; it comes before all others.
-NO_ID = -(2**63)
+#: Column of row numbers.
+ROW = "_suffix_row"
 
 _RNG = np.random.Generator(np.random.PCG64(99))
 _TABLE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,8 +101,7 @@ def _emit(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
 def _texts(batches):
     """(doc numbers, texts, other columns) in pieces of some 16 MB."""
     for b in batches:
-        ids = [NO_ID if x is None else x for x in b.column(0).to_pylist()]
-        col, at, size = b.column(1), 0, 0
+        ids, col, at, size = b.column(0).to_pylist(), b.column(1), 0, 0
         for i in range(b.num_rows):
             size += len(col[i].as_buffer()) if col[i].is_valid else 0
             if size > 1 << 24 or i == b.num_rows - 1:
@@ -363,19 +362,32 @@ def _cover(batches):
             yield _emit(out[at : at + 50_000], *_C)
 
 
+def numbered(docs: DataFrame, space: Workspace) -> DataFrame:
+    """docs with ROW, a number of its own for each row: in the order of doc_id (null first) and a hash of the text."""
+    doc = F.col("doc_id").cast("long")
+    odd = docs.groupBy(doc.alias("doc")).agg(F.count("*").alias("n")).where("doc is null or n > 1")
+    if not odd.limit(1).count():
+        return docs.withColumn(ROW, doc)
+    n_parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = docs.select(F.struct(*docs.columns).alias("d"), doc.alias("doc"), F.xxhash64("text").alias("tie"), F.rand(1).alias("copy"))
+    order = [F.asc_nulls_first("doc"), "tie", "copy"]
+    own = own.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    return space.save(own.select("d.*", F.monotonically_increasing_id().alias(ROW)), "numbered")
+
+
 def repeated_spans(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(marked, spans): marked has doc, text (null where the document shares no minimizer), n_bytes, sha256;
+    """(marked, spans) of numbered docs: marked has doc (the row's number), id, text (null where the document shares no minimizer), n_bytes, sha256;
     spans has doc, spans, an array of (start, stop) of window starts that occur earlier."""
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    base = docs.select(F.col(ROW).alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+                       F.col("doc_id").cast("long").alias("id"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, int(total * 0.03 / 100_000))
     spark = docs.sparkSession
     n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = base.mapInArrow(_find_minimizers(buckets), _A_SCHEMA).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
+    sent = base.select("doc", "text").mapInArrow(_find_minimizers(buckets), _A_SCHEMA).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
     places = sent.mapInArrow(_mark_repeats, "doc long, data binary").groupBy("doc").agg(F.collect_list("data").alias("places"))
     marked = base.join(places, "doc", "left").select(
-        "doc", F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places",
+        "doc", "id", F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places",
         F.octet_length("text").cast("long").alias("n_bytes"),
         F.when(F.col("places").isNull(), F.sha2("text", 256)).alias("sha256"))
     marked = space.save(marked, "marked")
@@ -412,32 +424,31 @@ def _cut(keep_text: bool):
                 mask = removed_mask(len(text), list(zip(firsts[i], lasts[i], strict=True)))
                 kept = np.frombuffer(text, np.uint8)[~mask].tobytes()
                 runs = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
-                rows.append((doc, len(text), int(mask.sum()), runs, hashlib.sha256(kept).hexdigest(),
+                rows.append((doc["doc"], doc["id"], len(text), int(mask.sum()), runs, hashlib.sha256(kept).hexdigest(),
                              kept.decode("utf-8", "ignore") if keep_text else None))
-            yield _emit(rows, ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-                        [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])
+            yield _emit(rows, ["doc", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                        [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])
 
     return run
 
 
 def dedup(docs: DataFrame, space: Workspace, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (what remains as text, without broken
-    characters; null where nothing went).
+    characters; null where nothing went). If docs are numbered(), ROW too.
 
     Every byte covered by a LENGTH-byte string that starts earlier goes; strings are judged on the input. A null text
-    is empty. A null doc_id comes before all others; rows that share a doc_id count as one document, in which a string
-    is earlier by its start alone. Texts shorter than LENGTH lose nothing. An empty table gives an empty one.
+    is empty. A null doc_id comes before all others; rows that share a doc_id are rows of their own, in the order of their
+    texts' hashes. Texts shorter than LENGTH lose nothing. An empty table gives an empty one.
     """
-    marked, spans = repeated_spans(docs, space)
-    # what a document's spans are is known by number, however many rows have it
-    hit = marked.where("places is not null").select("doc", "text").join(spans, "doc", "left").select(
-        "doc", "text", F.coalesce(F.col("spans.start"), F.array().cast("array<int>")).alias("first"),
+    named = ROW in docs.columns
+    marked, spans = repeated_spans(docs if named else numbered(docs, space), space)
+    hit = marked.where("places is not null").select("doc", "id", "text").join(spans, "doc", "left").select(
+        F.struct("doc", "id").alias("doc"), "text", F.coalesce(F.col("spans.start"), F.array().cast("array<int>")).alias("first"),
         F.coalesce(F.col("spans.stop"), F.array().cast("array<int>")).alias("last"))
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    schema = "doc long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     cut = hit.mapInArrow(_cut(keep_text), schema)
     rest = marked.where("places is null").select(
-        "doc", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
+        "doc", "id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
         F.col("sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
-    out = cut.unionByName(rest).select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"),
-                                       "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    return out if keep_text else out.drop("kept")
+    out = cut.unionByName(rest).withColumnsRenamed({"id": "doc_id", "doc": ROW})
+    return out.drop(*([] if named else [ROW]), *([] if keep_text else ["kept"]))

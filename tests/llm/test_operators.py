@@ -69,6 +69,33 @@ def test_suffix_dedup(spark, docs, empty):
     assert suffix.dedup(empty, Workspace(spark, "t")).collect() == []
 
 
+def test_suffix_dedup_null_and_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p, q, long = make(150), make(160), make(900)
+    data = [(1, make(300) + p), (1, p[:120]), (1, make(700)), (None, make(500) + q), (None, q), (None, make(120)), (2, long), (2, long), (2, long),
+            (3, make(40) + q + make(30)), (3, make(200)), (4, None), (4, "x"), (None, None), (5, make(400) + p)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    seen, want, left = set(), [], []
+    for r in docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).collect():
+        t = (r.text or "").encode()
+        mask = bytearray(len(t))
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                mask[s : s + 100] = b"\1" * 100
+            seen.add(t[s : s + 100])
+        kept = bytes(c for c, m in zip(t, mask) if not m)
+        want.append((r.doc_id, len(t), sum(mask), hashlib.sha256(kept).hexdigest()))
+        if not any(mask) or kept.split():
+            left.append((r.doc_id, kept.decode() if any(mask) else r.text))
+    got = suffix.dedup(docs, Workspace(spark, "t")).select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    kept = C.drop_repeated_passages(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, left))
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, 700, dtype=np.uint8)
