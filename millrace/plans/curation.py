@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import legal as L
 from ..functions import text as X
 from ..operators import relational as R
 from ..sources.tables import inline, table
@@ -65,7 +66,9 @@ def resume_missing(spark, sf):
 
 
 def anti_join_balanced_sample(spark, sf):
-    left = table(spark, sf, "labels").where("doc_id % 7 <> 0")
+    used = _docs(spark, sf).where("doc_id % 7 = 0").select("doc_id")
+    left = R.pending(table(spark, sf, "labels"), used, ["doc_id"])
+    left = R.keep_first(left, "doc_id", F.struct("quality", "toxic"), empty_repeats=False)
     low = left.groupBy("quality").agg(F.count("*").alias("n")).agg(F.min("n").alias("k"))
     return R.stratified_rank(left, "quality", "doc_id").join(low, F.col("rank") <= F.col("k")).select("doc_id", "quality", "rank")
 
@@ -157,8 +160,7 @@ def text_shorten(spark, sf):
 
 
 def mask_email_phone(spark, sf):
-    m = X.mask_email(F.col("text"))
-    return _docs(spark, sf).where(F.col("text").contains("@")).select("doc_id", F.regexp_count(m, F.lit(r"\*\*\*@")).cast("long").alias("n"))
+    return _docs(spark, sf).select("doc_id", F.md5(L.mask(F.col("text"))).alias("h"))
 
 
 def html_to_text(spark, sf):
