@@ -14,6 +14,9 @@ WHITE = " \t\n\x0b\x0c\r"
 #: A word, as a regular expression for Java.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Column of row numbers.
+ROW = "_row"
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -30,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(spark.sparkContext, "_millrace_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="millrace-")
@@ -74,6 +79,22 @@ def with_small(df: DataFrame, small: DataFrame, on, how: str = "left", max_rows:
     return df.join(small, on, how)
 
 
+def numbered(docs: DataFrame, space: Workspace, nulls_first: bool = True) -> DataFrame:
+    """docs with ROW, a number of its own for each row: in the order of doc_id (null first or last) and a hash of the text.
+
+    Where every row has a doc_id of its own, that is the number; otherwise the table is dealt by range and written.
+    """
+    doc = F.col("doc_id").cast("long")
+    odd = docs.groupBy(doc.alias("doc")).agg(F.count("*").alias("n")).where("doc is null or n > 1")
+    if not odd.limit(1).count():
+        return docs.withColumn(ROW, doc)
+    n_parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = docs.select(F.struct(*docs.columns).alias("d"), doc.alias("doc"), F.xxhash64("text").alias("tie"), F.rand(1).alias("copy"))
+    order = [F.asc_nulls_first("doc") if nulls_first else F.asc_nulls_last("doc"), "tie", "copy"]
+    own = own.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    return space.save(own.select("d.*", F.monotonically_increasing_id().alias(ROW)), "numbered")
+
+
 def components(space: Workspace, edges: DataFrame) -> DataFrame:
     """Connected components: (node, component), component the smallest node reached; edges has long a, b.
 

@@ -1,12 +1,17 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Texts become fingerprints; equal fingerprints are collapsed to one node first, so copies cost one row. Nodes meet in
-buckets: either under exact keys (with at most 3 differing bits, at least 3 of 6 blocks of bits agree), or under the
-nearest of many reference vectors. Within a bucket the precomputed distances to the reference fingerprints (pivots)
-discard pairs: two fingerprints that differ in d bits have distances to any pivot that differ by d at most. Survivors
-are verified bit by bit. A bucket yields a star for each of its components, not its pairs; the stars are joined by
-distributed components. No bucket grows with the data: above LIMIT rows it is keyed again by further bits or, where keys
-miss pairs, dealt into blocks of which every two meet, so that all its pairs are compared.
+Texts become fingerprints; equal ones are collapsed to one node first, so copies cost one row. Nodes meet in groups:
+
+* groups(): of fingerprints with at most 3 differing bits, at least 3 of 6 blocks of bits agree; such keys miss no pair.
+* similar(): of sets of n shingles with a similarity of 0.8 or more, the first n - ceil(0.8 n) + 1 shingles of each, in any
+  one order of all shingles, have one in common. The order is by the number of texts that hold a shingle, rare ones first,
+  so unrelated texts that share common phrases don't meet; shingles of one text alone count for the length, but meet
+  nobody. Texts of whose shingles less than 0.8 occur elsewhere drop out before.
+
+Within a group the precomputed distances to many reference fingerprints (pivots) discard pairs: two fingerprints that
+differ in d bits have distances to any pivot that differ by d at most. Survivors are verified: groups() bit by bit, similar()
+by the exact Jaccard similarity of the sets. A group yields a star for each of its components, not its pairs; the stars are
+joined by distributed components. A group too large for a task is dealt into blocks of which every two meet.
 """
 
 from __future__ import annotations
@@ -16,16 +21,22 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components
+from .common import ROW, WORD, Workspace, components
+from .packed import by_first, emit, groups_of, kmer_hashes, pack, texts_in_pieces, unpack, word_hashes
 
-#: Rows of a bucket that is searched directly; larger ones are keyed again.
+#: Rows of a bucket of keys that is searched directly; larger ones are keyed again.
 LIMIT = 256
-#: Blocks of a bucket that isn't keyed again have so many times LIMIT rows.
-BLOCK = 16
+#: Nodes, and shingles, of a block: a larger group is dealt into several.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
+#: Blocks of a group of nodes joined by keys beyond which its nodes meet by key instead.
+MAX_BLOCKS = 64
 PIVOTS = 24
+#: similar(): 64-bit words of a fingerprint, and bits that may differ. At similarity 0.8 the mean is 20 of 128, the standard
+#: deviation 4: 48 bits discard fewer than one pair in a million.
+LANES, DIFFER = 2, 48
 
 
 def _rng(seed: int) -> np.random.Generator:
@@ -68,33 +79,24 @@ def bit_counts(h: np.ndarray, lanes: int) -> np.ndarray:
     return out
 
 
-#: Bits whose margins (by how much a bit is set more or less often than not) a sketch holds, a signed byte each.
-SKETCH = 128
+def fingerprint(hashes: np.ndarray, lanes: int = 1) -> bytes:
+    """64-bit words, each big-endian; a bit is 1 if set in over half the hashes."""
+    bits = bit_counts(hashes, lanes) * 2 > len(hashes)
+    return np.packbits(bits.reshape(lanes, 64), axis=1, bitorder="little").view("<u8").astype(">u8").tobytes()
 
 
-def fingerprint(text: bytes | None, k: int = 3, lanes: int = 1, sketch: bool = False) -> bytes:
-    """64-bit words, each big-endian; a bit is 1 if set in over half the hashes. sketch: SKETCH margins follow."""
-    h = shingle_hashes(text, k)
-    margins = bit_counts(h, lanes) * 2 - len(h)
-    bits = margins > 0
-    out = np.packbits(bits.reshape(lanes, 64), axis=1, bitorder="little").view("<u8").astype(">u8").tobytes()
-    if sketch:
-        m = margins[:SKETCH]
-        out += np.rint(m * (127 / max(1, np.abs(m).max()))).astype(np.int8).tobytes()
-    return out
-
-
-def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1, sketch: bool = False) -> DataFrame:
-    """doc_id, fp (binary) of whole texts; a null text has fingerprint zero."""
+def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
+    """doc_id, node (the fingerprint's bits as a long) of whole texts; a null text has fingerprint zero."""
     def run(batches):
         for b in batches:
-            texts = b.column(1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([fingerprint(texts[i].as_py(), k, lanes, sketch) for i in range(len(texts))], pa.binary())],
-                ["doc_id", "fp"],
-            )
+            fps = [fingerprint(shingle_hashes(t, k)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(b"".join(fps), ">i8").astype(np.int64))], ["doc_id", "node"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, node long")
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp binary")
+def _bytes(node: str) -> Column:
+    return F.unhex(F.lpad(F.hex(node), 16, "0"))
 
 
 def _split_bits(width: int, parts: int = 6) -> list[tuple[int, int]]:
@@ -139,41 +141,6 @@ class BlockKeys:
                 yield rows, (np.uint64(d) << np.uint64(40)) | _take(rest, [sub[i] for i in combo2])
 
 
-class NearestReferenceKeys:
-    """Keys for long fingerprints with sketches: which of many reference vectors is nearest.
-
-    A sketch is compared with groups of 64 reference vectors and their opposites. Documents of similarity 0.8 agree
-    about a group nine times in twenty, others once in 128 times; three groups make a key, and of 40 keys some one is
-    shared but for about one pair in fifty (at 0.85, one in a thousand). Nearest vectors of further groups would miss
-    pairs of a crowded key, so its rows are all compared.
-    """
-
-    levels = 1
-
-    def __init__(self, tables: int = 40, groups: int = 3, seed: int = 7):
-        self.tables, self.groups, self.seed = tables, groups, seed
-
-    def _nearest(self, fps: np.ndarray, count: int, seed: int) -> np.ndarray:
-        x = np.ascontiguousarray(fps[:, -SKETCH:]).view(np.int8).astype(np.float32)
-        ref = _rng(seed).standard_normal((SKETCH, 64 * count), dtype=np.float32)
-        out = np.empty((len(fps), count), np.uint64)
-        for a in range(0, len(fps), 1024):
-            d = (x[a : a + 1024] @ ref).reshape(-1, count, 64)
-            high, low = d.argmax(axis=2), d.argmin(axis=2)
-            up = np.take_along_axis(d, high[:, :, None], 2)[:, :, 0] >= -np.take_along_axis(d, low[:, :, None], 2)[:, :, 0]
-            out[a : a + 1024] = np.where(up, high * 2 + 1, low * 2)
-        return out
-
-    def keys(self, fps: np.ndarray, level: int, key: np.ndarray | None):
-        rows = np.arange(len(fps))
-        near = self._nearest(fps, self.tables * self.groups, self.seed + level)
-        for t in range(self.tables):
-            out = np.full(len(fps), t, np.uint64)
-            for g in range(self.groups):
-                out = (out << np.uint64(7)) | near[:, t * self.groups + g]
-            yield rows, out
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     width = len(column[0].as_py())
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
@@ -245,27 +212,7 @@ def link_rows(bucket: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarr
     return order[label[rows]], order[rows]
 
 
-def link_crowd(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """link_rows() for one large bucket: a component grows from its first row by what is near and not yet reached."""
-    pad = -fps.shape[1] % 8
-    x = np.ascontiguousarray(np.pad(fps, ((0, 0), (0, pad)))).view(np.uint64)
-    left, a, b = np.arange(len(x)), [], []
-    while len(left):
-        first, left = int(left[0]), left[1:]
-        queue = [first]
-        while queue and len(left):
-            near = np.bitwise_count(x[left] ^ x[queue.pop()]).sum(axis=1, dtype=np.int32) <= limit
-            if near.any():
-                queue += left[near].tolist()
-                a.append(np.full(int(near.sum()), first))
-                b.append(left[near])
-                left = left[~near]
-    if not a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _bucket_links(limit: int, width: int):
+def _bucket_links(limit: int):
     def run(batches):
         held = None
         for b in itertools.chain(batches, [None]):
@@ -284,25 +231,18 @@ def _bucket_links(limit: int, width: int):
             ids = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "key2")], axis=1)
             bucket = np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]).any(axis=1))])
             node = part.column("node").to_numpy(zero_copy_only=False)
-            fps = _matrix(part.column("fp"))[:, :width]
-            sizes = np.bincount(bucket)
-            few = np.flatnonzero(sizes[bucket] <= 256)
-            a, c = (few[x] for x in link_rows(bucket[few], fps[few], limit))
-            ends = np.cumsum(sizes)
-            for k in np.flatnonzero(sizes > 256):
-                lo = ends[k] - sizes[k]
-                more = link_crowd(fps[lo : ends[k]], limit)
-                a, c = np.concatenate([a, more[0] + lo]), np.concatenate([c, more[1] + lo])
+            fps = _matrix(part.column("fp"))
+            a, c = link_rows(bucket, fps, limit)
             pairs = np.unique(np.stack([node[a], node[c]], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
 
-def links(nodes: DataFrame, space: Workspace, limit: int, keyer, width: int = 8) -> DataFrame:
+def links(nodes: DataFrame, space: Workspace, limit: int, keyer) -> DataFrame:
     """Edges (a, b) that connect all nodes whose fingerprints meet under a key and differ in at most limit bits.
 
-    nodes: node (long), fp (binary, its first width bytes compared).
+    nodes: node (long), fp (binary).
     """
     schema = "key long, key2 long, node long"
     n_parts = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -313,13 +253,13 @@ def links(nodes: DataFrame, space: Workspace, limit: int, keyer, width: int = 8)
         last = level == keyer.levels
         fit = keyed.join(counts if last else counts.where(F.col("n") <= LIMIT), ["key", "key2"])
         if last:  # each row of a bucket of several blocks comes to the meetings of its own block with every one
-            blocks = F.ceil(F.col("n") / (BLOCK * LIMIT)).cast("int")
+            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
             own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
             fit = fit.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn(
                 "key2", F.when(blocks > 1, F.xxhash64("key2", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("key2")))
         fit = fit.select("key", "key2", "node").join(nodes, "node")
         fit = fit.repartition(n_parts, "key", "key2").sortWithinPartitions("key", "key2")
-        found.append(space.save(fit.mapInArrow(_bucket_links(limit, width), "a long, b long").distinct(), f"links{level}"))
+        found.append(space.save(fit.mapInArrow(_bucket_links(limit), "a long, b long").distinct(), f"links{level}"))
         crowded = counts.where(F.col("n") > LIMIT)
         if last or not crowded.limit(1).count():
             break
@@ -333,32 +273,182 @@ def links(nodes: DataFrame, space: Workspace, limit: int, keyer, width: int = 8)
     return out
 
 
-def groups(docs: DataFrame, space: Workspace, k: int = 3, lanes: int = 1, limit: int = 3, keyer=None,
-           sketch: bool = False) -> DataFrame:
+def groups(docs: DataFrame, space: Workspace, k: int = 3, limit: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reached), a row for each row of docs.
 
-    Null or empty texts have fingerprint zero and link like any other. Rows with the same doc_id count as one document;
-    rows without one are linked but never name a component (null, if there is no other). An empty table gives none.
+    Null or empty texts have fingerprint zero and link like any other, and very long texts are taken whole. Rows with the
+    same doc_id count as one document; rows without a doc_id link, and join others, but never name a component (null, if
+    there is no other). An empty table gives none.
+    """
+    fps = space.save(fingerprints(docs, k), "fps")
+    nodes = space.save(fps.groupBy("node").agg(F.min("doc_id").alias("low")).select("node", "low", _bytes("node").alias("fp")), "nodes")
+    # a document with several fingerprints joins them
+    repeated = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    several = fps.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).distinct()
+    comp = space.save(components(space, links(nodes.select("node", "fp"), space, limit, BlockKeys()).union(several)), "components")
+    named = nodes.join(comp, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    named = named.join(named.groupBy("component").agg(F.min("low").alias("component_id")), "component")
+    return fps.join(named.select("node", "component_id"), "node").select("doc_id", _bytes("node").alias("fp"), "component_id")
+
+
+_SENT = (["bucket", "kind", "chunk", "data"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()])
+_SENT_SCHEMA = "bucket long, kind int, chunk long, data binary"
+
+
+def _shingle_rows(buckets: int, k: int):
+    """The distinct shingles of each text. kind 0: (hash, place of the text in its piece) by ranges of hashes; kind 1: (row,
+    number of shingles) of a piece. The piece's first row names it."""
+    def run(batches):
+        for ids, texts, _ in texts_in_pieces(batches):
+            sets = [np.unique(kmer_hashes(word_hashes(t), k)) for t in texts]
+            sizes = np.array([len(s) for s in sets], np.uint32)
+            chunk = ids[0]
+            rows = [(chunk % buckets, 1, chunk, pack(np.array(ids, np.int64), sizes))]
+            h = np.concatenate(sets)
+            order = np.argsort(h, kind="stable")
+            h, who = h[order], np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)[order]
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            rows += [(int(bucket[g[0]]), 0, chunk, pack(h[g], who[g])) for g in groups_of(bucket)]
+            yield emit(rows, *_SENT)
+
+    return run
+
+
+def _shared_shingles(batches):
+    """Back to the pieces: (hash, place of the text, number of texts) of shingles that several texts hold."""
+    for rows in by_first(batches, ["bucket", "kind", "chunk", "data"]):
+        out = [(chunk, 1, chunk, data) for _, kind, chunk, data in rows if kind == 1]
+        sent = [(chunk, *unpack(data, "<u8", "<u4")) for _, kind, chunk, data in rows if kind == 0]
+        if sent:
+            h, who = np.concatenate([x[1] for x in sent]), np.concatenate([x[2] for x in sent])
+            piece = np.repeat(np.arange(len(sent)), [len(x[1]) for x in sent])
+            order = np.argsort(h, kind="stable")
+            runs = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+            n = np.empty(len(h), np.uint32)
+            n[order] = np.repeat(np.diff(np.append(runs, len(h))), np.diff(np.append(runs, len(h))))
+            shared = np.flatnonzero(n > 1)  # pieces stay together
+            for g in groups_of(piece[shared]):
+                at = shared[g]
+                out.append((sent[piece[at[0]]][0], 0, sent[piece[at[0]]][0], pack(h[at], who[at], n[at])))
+        yield emit(out, *_SENT)
+
+
+_KEPT = (["node", "n", "m", "fp", "keys", "shingles"], [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary()])
+_KEPT_SCHEMA = "node long, n int, m int, fp binary, keys array<long>, shingles binary"
+
+
+def _prefixes(batches):
+    """Texts of whose n shingles 0.8 or more occur elsewhere: these m shingles, and those of them that are keys."""
+    for rows in by_first(batches, ["chunk", "kind", "data"]):
+        (node, n), = [unpack(data, "<i8", "<u4") for _, kind, data in rows if kind == 1]
+        parts = [unpack(data, "<u8", "<u4", "<u4") for _, kind, data in rows if kind == 0]
+        out = []
+        if parts:
+            h, who, texts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            fit = (5 * np.bincount(who, minlength=len(n)) >= 4 * n.astype(np.int64))[who]
+            h, who, texts = h[fit], who[fit], texts[fit]
+            order = np.lexsort((h, texts, who))
+            h, who = h[order], who[order]
+            for g in groups_of(who):
+                size, own = int(n[who[g[0]]]), h[g]
+                keys = len(own) - -(-4 * size // 5) + 1
+                # shingles of this text alone can't be common: leaving them out raises the similarity, if anything
+                out.append((int(node[who[g[0]]]), size, len(own), fingerprint(own, LANES), own[:keys].view(np.int64), own.tobytes()))
+        yield emit(out, *_KEPT)
+
+
+def link_sets(sizes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Stars (first row, row) of the components of rows of similarity 0.8 or more, given what of the sets may be common.
+
+    A component grows from its first row by what is near and not reached yet. Pivot distances and fingerprints discard.
     """
-    fps = space.save(fingerprints(docs, k, lanes, sketch), "fps")
-    nodes = space.save(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    # a document with several rows joins their fingerprints
-    several = fps.join(nodes, "fp").where("doc_id is not null and node is not null").select(
-        F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    repeated = fps.where("doc_id is not null").groupBy("doc_id").agg(
-        F.count_distinct("fp").alias("n")).where("n > 1").select(F.col("doc_id").alias("a"))
-    several = several.join(repeated, "a", "left_semi")
-    edges = links(nodes, space, limit, keyer or BlockKeys(), 8 * lanes).union(several)
-    comp = space.save(components(space, edges), "components")
-    named = nodes.join(comp, nodes.node == comp.node, "left").select(
-        "fp", F.coalesce("component", nodes.node).alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def similar(docs: DataFrame, space: Workspace, limit: int = 86) -> DataFrame:
-    """groups() for 5-word shingles of similarity 0.8 or more, estimated from 512-bit fingerprints.
-
-    At a Jaccard similarity of 0.8, sets of equal size have cosine 0.889, and 78 of 512 bits differ on average
-    (standard deviation 8); 86 keeps most pairs at 0.8 and nearly all from 0.85.
+    pivots = _rng(11).integers(0, 256, (PIVOTS, fps.shape[1]), dtype=np.uint8)
+    distances = np.stack([hamming(fps, p) for p in pivots], axis=1).astype(np.int16)
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum([len(s) for s in sets])[:-1])
+    mark = np.zeros(max(int(x.max()) for x in ids) + 1, bool)
+    left, a, b = np.arange(len(sizes)), [], []
+    while len(left) > 1:
+        first, left = int(left[0]), left[1:]
+        queue = [first]
+        while queue and len(left):
+            q = queue.pop()
+            near = np.flatnonzero((np.abs(distances[left] - distances[q]) <= DIFFER).all(axis=1))
+            near = near[hamming(fps[left[near]], fps[q]) <= DIFFER]
+            size = sizes[left[near]]
+            fit = (5 * size >= 4 * sizes[q]) & (4 * size <= 5 * sizes[q])
+            near, size = near[fit], size[fit]
+            if not len(near):
+                continue
+            mark[ids[q]] = True
+            own = [ids[i] for i in left[near]]
+            common = np.add.reduceat(mark[np.concatenate(own)], np.cumsum([0, *map(len, own[:-1])]), dtype=np.int64)
+            mark[ids[q]] = False
+            near = near[9 * common >= 4 * (size + sizes[q])]
+            if len(near):
+                found = left[near].tolist()
+                queue += found
+                a += [first] * len(found)
+                b += found
+                left = np.delete(left, near)
+    return a, b
+
+
+def _group_links(batches):
+    for rows in by_first(batches, ["meeting", "node", "n", "fp", "shingles"]):
+        a, b = [], []
+        if len(rows) > 1:
+            node = [r[1] for r in rows]
+            fps = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+            a, b = link_sets(np.array([r[2] for r in rows], np.int64), fps, [np.frombuffer(r[4], "<u8") for r in rows])
+            a, b = [node[i] for i in a], [node[i] for i in b]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (node, m, own: the group) of groups of two or more, with the number of blocks that the group is dealt into."""
+    size = rows.groupBy("own").agg(F.count("*").alias("g"), F.sum("m").alias("w")).where("g > 1").select(
+        "own", F.ceil(F.greatest(F.col("g") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return rows.join(size, "own").select("own", "node", "blocks")
+
+
+def _meetings(rows: DataFrame, seed: int) -> DataFrame:
+    """node, meeting: each row comes to the meetings of its block with every block of its group."""
+    at = F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int")
+    rows = rows.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("node", F.xxhash64(F.lit(seed), "own", F.least("at", "other"), F.greatest("at", "other")).alias("meeting"))
+
+
+def similar(docs: DataFrame, space: Workspace, k: int = 5) -> DataFrame:
+    """ROW, component (the smallest ROW reached) of numbered() docs: texts whose sets of k-word shingles (A-Z in lower case)
+    have a Jaccard similarity of 0.8 or more are linked, a row for each row of docs.
+
+    Shingles are compared by 64-bit hashes. Texts of fewer than k words are one shingle; null texts and texts without a
+    word are alike. Equal texts are alike, and compared once. Long texts are taken whole. An empty table gives none.
     """
-    return groups(docs, space, k=5, lanes=8, limit=limit, keyer=NearestReferenceKeys(), sketch=True)
+    spark = docs.sparkSession
+    n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    slim = space.save(docs.select(ROW, F.when(text.rlike(WORD), F.md5(text)).otherwise("").alias("t"), F.octet_length(text).alias("bytes")), "slim")
+    first = space.save(slim.groupBy("t").agg(F.min(ROW).alias("node")), "first")
+    reps = docs.select(ROW, F.col("text").cast("binary").alias("text")).join(first.select(F.col("node").alias(ROW)), ROW, "left_semi")
+    total = slim.agg(F.sum("bytes")).first()[0] or 0
+    buckets = min(1 << 20, max(64, total >> 23))  # some millions of shingles each
+    sent = reps.mapInArrow(_shingle_rows(buckets, k), _SENT_SCHEMA).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
+    back = sent.mapInArrow(_shared_shingles, _SENT_SCHEMA).repartition(n_parts, "chunk").sortWithinPartitions("chunk")
+    kept = space.save(back.mapInArrow(_prefixes, _KEPT_SCHEMA), "kept")
+    keyed = kept.select("node", "m", F.explode("keys").alias("own"))
+    shared = keyed.groupBy("own").agg(F.count("*").alias("c"), F.min("node").alias("low")).where("c > 1").select("own", "low")
+    keyed = space.save(keyed.join(shared, "own"), "keyed")
+    met = space.save(components(space, keyed.select(F.col("node").alias("a"), F.col("low").alias("b"))), "met")
+    blobs = kept.select("node", "m").join(met, "node", "left").select("node", "m", F.coalesce("component", "node").alias("own"))
+    blobs = space.save(_in_blocks(blobs), "blobs")
+    meetings = _meetings(blobs.where(F.col("blocks") <= MAX_BLOCKS), 1)
+    giant = blobs.where(F.col("blocks") > MAX_BLOCKS).select("node")
+    if giant.limit(1).count():
+        meetings = meetings.union(_meetings(_in_blocks(keyed.select("node", "m", "own").join(giant, "node", "left_semi")), 2))
+    together = meetings.join(kept.select("node", "n", "fp", "shingles"), "node")
+    together = together.repartition(n_parts, "meeting").sortWithinPartitions("meeting", "node")
+    found = space.save(together.mapInArrow(_group_links, "a long, b long").distinct(), "found")
+    comp = space.save(components(space, found), "components")
+    named = first.join(comp, "node", "left").select("t", F.coalesce("component", "node").alias("component"))
+    return slim.join(named, "t").select(ROW, "component")

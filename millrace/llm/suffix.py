@@ -17,23 +17,20 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import struct
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import ROW, Workspace, numbered
+from .packed import by_first, emit, pack, texts_in_pieces, unpack
 
 LENGTH, GRAM = 100, 28
 SPAN = LENGTH - GRAM + 1
 #: Different segments of one minimizer in a task beyond which it is crowded.
 CROWDED = 64
-#: Column of row numbers.
-ROW = "_suffix_row"
 
 _RNG = np.random.Generator(np.random.PCG64(99))
 _TABLE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,49 +71,13 @@ def minimizers(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Arrays of equal length, their bytes put together plane by plane."""
-    out = [struct.pack("<I", len(columns[0]))]
-    for c in columns:
-        out.append(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes())
-    return zstandard.compress(b"".join(out), 1)
-
-
-def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.decompress(data)
-    n, at, out = struct.unpack_from("<I", raw)[0], 4, []
-    for kind in kinds:
-        size = np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
-        at += n * size
-    return out
-
-
-def _emit(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-
-def _texts(batches):
-    """(doc numbers, texts, other columns) in pieces of some 16 MB."""
-    for b in batches:
-        ids, col, at, size = b.column(0).to_pylist(), b.column(1), 0, 0
-        for i in range(b.num_rows):
-            size += len(col[i].as_buffer()) if col[i].is_valid else 0
-            if size > 1 << 24 or i == b.num_rows - 1:
-                part = col.slice(at, i + 1 - at).to_pylist()
-                yield ids[at : i + 1], [x or b"" for x in part], b.slice(at, i + 1 - at)
-                at, size = i + 1, 0
-
-
 _A = (["bucket", "kind", "doc", "data"], [pa.int32(), pa.int32(), pa.int64(), pa.binary()])
 _A_SCHEMA = "bucket int, kind int, doc long, data binary"
 
 
 def _find_minimizers(buckets: int):
     def run(batches):
-        for ids, texts, _ in _texts(batches):
+        for ids, texts, _ in texts_in_pieces(batches):
             found = []
             for k, (doc, text) in enumerate(zip(ids, texts, strict=True)):
                 if len(text) >= LENGTH:
@@ -141,32 +102,18 @@ def _find_minimizers(buckets: int):
             bucket = (h[send] % np.uint64(buckets)).astype(np.int64)
             for group in np.split(np.arange(len(send)), np.flatnonzero(np.diff(bucket)) + 1):
                 s = send[group]
-                rows.append((int(bucket[group[0]]), 0, 0, _pack(h[s], doc[s], at[s], again[s].astype(np.uint8))))
-            yield _emit(rows, *_A)
+                rows.append((int(bucket[group[0]]), 0, 0, pack(h[s], doc[s], at[s], again[s].astype(np.uint8))))
+            yield emit(rows, *_A)
 
     return run
 
 
-def _by_bucket(batches, columns: list[str]):
-    """Rows of each bucket; they stand together."""
-    held, rows = None, []
-    for b in batches:
-        for row in zip(*[b.column(c).to_pylist() for c in columns], strict=True):
-            if row[0] != held and rows:
-                yield rows
-                rows = []
-            held = row[0]
-            rows.append(row)
-    if rows:
-        yield rows
-
-
 def _mark_repeats(batches):
     """(doc, data): places of minimizers that occur again somewhere."""
     names, kinds = ["doc", "data"], [pa.int64(), pa.binary()]
-    for rows in _by_bucket(batches, ["bucket", "kind", "doc", "data"]):
+    for rows in by_first(batches, ["bucket", "kind", "doc", "data"]):
         out = [(doc, data) for _, kind, doc, data in rows if kind == 1]
-        sent = [_unpack(data, "<u8", "<i8", "<u4", "u1") for _, kind, _, data in rows if kind == 0]
+        sent = [unpack(data, "<u8", "<i8", "<u4", "u1") for _, kind, _, data in rows if kind == 0]
         if sent:
             h, doc, at, local = (np.concatenate(x) for x in zip(*sent, strict=True))
             order = np.argsort(h, kind="stable")
@@ -178,7 +125,7 @@ def _mark_repeats(batches):
             mark = mark[np.argsort(doc[mark], kind="stable")]
             for group in np.split(mark, np.flatnonzero(np.diff(doc[mark])) + 1) if len(mark) else []:
                 out.append((int(doc[group[0]]), at[group].tobytes()))
-        yield _emit(out, names, kinds)
+        yield emit(out, names, kinds)
 
 
 #: kind 0: a segment for a shard; 1: coverage known in the task (doc, start, stop of windows); 2: a window, with its digest
@@ -198,7 +145,7 @@ def _windows(bucket: int, h: int, doc: int, start: int, data: bytes) -> list[tup
 
 def _segments(buckets: int):
     def run(batches):
-        for ids, texts, batch in _texts(batches):
+        for ids, texts, batch in texts_in_pieces(batches):
             places, first, rows, count = batch.column(2).to_pylist(), {}, [], {}
             for k in np.argsort(np.array(ids, np.int64), kind="stable"):
                 doc, text = ids[k], texts[k]
@@ -223,9 +170,9 @@ def _segments(buckets: int):
                 else:
                     rows.append((x % buckets, 0, x, None, doc, s, e, data))
                 if len(rows) > 20_000:
-                    yield _emit(rows, *_B)
+                    yield emit(rows, *_B)
                     rows = []
-            yield _emit(rows, *_B)
+            yield emit(rows, *_B)
 
     return run
 
@@ -359,20 +306,7 @@ def _cover(batches):
         if last and rows:
             out += [(None, *x) for x in _shard(rows)]
         for at in range(0, len(out), 50_000):
-            yield _emit(out[at : at + 50_000], *_C)
-
-
-def numbered(docs: DataFrame, space: Workspace) -> DataFrame:
-    """docs with ROW, a number of its own for each row: in the order of doc_id (null first) and a hash of the text."""
-    doc = F.col("doc_id").cast("long")
-    odd = docs.groupBy(doc.alias("doc")).agg(F.count("*").alias("n")).where("doc is null or n > 1")
-    if not odd.limit(1).count():
-        return docs.withColumn(ROW, doc)
-    n_parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    own = docs.select(F.struct(*docs.columns).alias("d"), doc.alias("doc"), F.xxhash64("text").alias("tie"), F.rand(1).alias("copy"))
-    order = [F.asc_nulls_first("doc"), "tie", "copy"]
-    own = own.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
-    return space.save(own.select("d.*", F.monotonically_increasing_id().alias(ROW)), "numbered")
+            yield emit(out[at : at + 50_000], *_C)
 
 
 def repeated_spans(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -426,7 +360,7 @@ def _cut(keep_text: bool):
                 runs = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
                 rows.append((doc["doc"], doc["id"], len(text), int(mask.sum()), runs, hashlib.sha256(kept).hexdigest(),
                              kept.decode("utf-8", "ignore") if keep_text else None))
-            yield _emit(rows, ["doc", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            yield emit(rows, ["doc", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                         [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])
 
     return run

@@ -133,6 +133,26 @@ def test_simhash(spark, docs, empty):
     assert simhash.groups(empty, Workspace(spark, "t")).collect() == []
 
 
+def test_simhash_null_and_repeated_ids(spark):
+    rng = random.Random(1)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    fp = lambda w: simhash.fingerprint(simhash.shingle_hashes(" ".join(w).encode(), 3))
+    apart = lambda a, b: bin(int.from_bytes(fp(a), "big") ^ int.from_bytes(fp(b), "big")).count("1")
+    chain = [base]
+    while len(chain) < 3:  # each near the one before, the third not near the first
+        new = list(chain[-1])
+        for _ in range(12):
+            new[rng.randrange(400)] = "changed"
+        if 0 < apart(new, chain[-1]) <= 3 and (len(chain) < 2 or apart(new, base) > 3):
+            chain.append(new)
+    far = [[f"v{rng.randint(0, 10**6)}" for _ in range(50)] for _ in range(3)]
+    data = [(9, chain[0]), (None, chain[1]), (5, chain[2]), (None, far[0]), (None, far[0]), (20, far[1]), (20, far[2]), (20, far[2])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in data], "doc_id long, text string").repartition(3)
+    got = simhash.groups(docs, Workspace(spark, "t")).collect()
+    want = [(9, fp(chain[0]), 5), (None, fp(chain[1]), 5), (5, fp(chain[2]), 5), *[(None, fp(far[0]), None)] * 2, (20, fp(far[1]), 20), *[(20, fp(far[2]), 20)] * 2]
+    assert sorted(map(repr, ((r.doc_id, bytes(r.fp), r.component_id) for r in got))) == sorted(map(repr, want))
+
+
 def test_simhash_crowded_keys(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, dtype=np.uint64)
@@ -148,51 +168,78 @@ def test_simhash_crowded_keys(spark):
     assert (want == have).all()
 
 
-def test_similar_finds_near_copies(spark, docs):
-    rng = random.Random(2)
-    base = [f"w{rng.randint(0, 9999)}" for _ in range(300)]
-    close = list(base)
-    for at in (50, 200, 250):
-        close[at] = "other"
-    more = spark.createDataFrame([(1000, " ".join(base)), (1001, " ".join(close)), (1002, " ".join(rng.sample(base, 300)))], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar(more, Workspace(spark, "t")).collect()}
-    assert got == {1000: 1000, 1001: 1000, 1002: 1002}
+def near_groups(items):
+    """Least place of each component of similarity 0.8 or more, all pairs compared; items: texts."""
+    sets = []
+    for t in items:
+        w = words((t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(items)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(items)):
+        for j in range(i):
+            x, n, m = len(sets[i] & sets[j]), len(sets[i]), len(sets[j])
+            if 5 * x >= 4 * (n + m - x):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(items))]
 
 
-def test_similar_recall_does_not_depend_on_crowding(spark):
+def similar_texts():
     rng = random.Random(8)
 
+    def make(n):
+        return [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+
     def changed(base, share):
         return [f"x{rng.random()}" if rng.random() < share else w for w in base]
 
-    texts = []
-    for _ in range(100):  # pairs of similarity 0.8 or so
-        base = [f"w{rng.randint(0, 10**9)}" for _ in range(300)]
-        texts += [base, changed(base, 0.022)]
-    template = [f"w{rng.randint(0, 10**9)}" for _ in range(300)]
-    texts += [changed(template, 0.03) for _ in range(120)]
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = []
-    for limit in (10**6, 1):
-        simhash.LIMIT, old = limit, simhash.LIMIT
-        try:
-            got.append({r.doc_id: r.component_id for r in simhash.similar(docs, Workspace(spark, "t")).collect()})
-        finally:
-            simhash.LIMIT = old
-    assert got[0] == got[1]
-    assert sum(got[0][i] == got[0][i + 1] for i in range(0, 200, 2)) > 60
-
-
-@pytest.mark.parametrize("spread", [30, 60, 120])
-def test_link_crowd(spread):
-    rng = np.random.default_rng(spread)
-    fps = np.repeat(rng.integers(0, 256, (20, 64), dtype=np.uint8), 20, axis=0)
-    for f in fps:
-        at = rng.integers(0, 512, spread)
-        np.bitwise_xor.at(f, at // 8, (1 << at % 8).astype(np.uint8))
-    near = simhash.hamming(fps[:, None], fps[None]) <= 86
-    want = simhash._union(len(fps), *np.nonzero(np.triu(near, 1)))
-    assert (simhash._union(len(fps), *simhash.link_crowd(fps, 86)) == want).all()
+    common, out = make(120), []
+    for n in (6, 8, 12, 25, 60, 300):  # pairs about the limit, short ones too
+        for _ in range(25):
+            base = make(n)
+            out += [base, changed(base, rng.choice((0.01, 0.02, 0.03)))]
+            out.append(base[: rng.randint(n // 2, n)])
+    template = make(200)
+    out += [changed(template, rng.choice((0.005, 0.012, 0.03))) for _ in range(150)]
+    out += [common + make(rng.randint(10, 60)) for _ in range(60)]
+    out += [make(4) for _ in range(5)] + [["one"], ["one"], ["One"], ["two", "one"]]
+    out = [" ".join(x) for x in out]
+    return out + ["", None, " \n", out[0].upper(), out[0], out[5].replace(" ", "  ")]
+
+
+@pytest.mark.parametrize("block,shingles,most", [(4096, 1 << 21, 64), (20, 1 << 21, 64), (4096, 5000, 64), (10, 3000, 0)])
+def test_similar_equals_brute_force(spark, monkeypatch, block, shingles, most):
+    """Whole groups, groups dealt into blocks by rows and by shingles, and groups met by key."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(simhash, "MAX_BLOCKS", most)
+    texts = similar_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(5)
+    got = {r._row: r.component for r in simhash.similar(docs, Workspace(spark, "t")).collect()}
+    assert [got[i] for i in range(len(texts))] == near_groups(texts)
+    if most:
+        assert simhash.similar(docs.limit(0), Workspace(spark, "t")).collect() == []
+
+
+def test_near_stage_null_and_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    near = " ".join(base[:100] + ["other"] + base[101:])
+    base = " ".join(base)
+    alone = [" ".join(f"v{rng.randint(0, 10**6)}" for _ in range(50)) for _ in range(4)]
+    data = [(None, base), (7, near), (9, base), (3, alone[0]), (3, alone[1]), (3, alone[1]), (None, alone[2]), (None, alone[3]), (None, alone[3]), (4, None), (5, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = C.drop_near_duplicates(spark, docs, "").collect()
+    want = [(7, near), (3, alone[0]), (3, alone[1]), (None, alone[2]), (None, alone[3]), (4, None)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
 def test_mixing(spark, docs, empty):
