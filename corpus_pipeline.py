@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import mixing, quality, simhash, suffix, viterbi
-from millrace.llm.common import Workspace, shared_dir, table
+from millrace.llm.common import ROW, Workspace, numbered, shared_dir, table
 from millrace.llm.queries import tokenizer_path
 
 
@@ -25,20 +25,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    space = Workspace(spark, "near")
-    found = simhash.similar(docs, space)
-    gone = space.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates (5-word shingles, similarity 0.8 or more) the first row stays: the smallest doc_id,
+    rows without one last; of rows that share it, by a hash of the text."""
+    space, columns = Workspace(spark, "near"), docs.columns
+    docs = numbered(docs, space, nulls_first=False)
+    gone = simhash.similar(docs, space).where(F.col(ROW) != F.col("component")).select(ROW)
+    return docs.join(space.save(gone, "gone"), ROW, "left_anti").select(*columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 100 bytes or more go; documents left without a word go with them."""
     space, columns = Workspace(spark, "passages"), docs.columns
-    docs = suffix.numbered(docs, space)
-    cut = suffix.dedup(docs, space, keep_text=True).where("n_removed > 0").select(F.col(suffix.ROW).alias("_id"), F.col("kept").alias("_left"))
+    docs = numbered(docs, space)
+    cut = suffix.dedup(docs, space, keep_text=True).where("n_removed > 0").select(F.col(ROW).alias("_id"), F.col("kept").alias("_left"))
     cut = space.save(cut, "cut")
-    out = docs.join(cut, F.col(suffix.ROW) == F.col("_id"), "left")
+    out = docs.join(cut, F.col(ROW) == F.col("_id"), "left")
     out = out.where(F.col("_left").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumn("n_chars", F.when(F.col("_left").isNotNull(), F.length("_left").cast("long")).otherwise(F.col("n_chars")))
     return out.withColumn("text", F.coalesce("_left", "text")).select(*columns)
