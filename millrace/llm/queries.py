@@ -42,9 +42,8 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Workspace(spark, "op6")
     docs = table(spark, sf_dir, "documents")
-    return toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), Workspace(spark, "op6")))
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,18 +367,49 @@ def test_passages(spark, docs):
     assert not {r.doc_id for r in got} & set(range(40))
 
 
-def test_toxicity(spark, docs):
+def toxic_rows():
     rng = random.Random(3)
-    plain, bad = [f"w{i}" for i in range(300)], ["awful", "nasty", "vile", "horrid"]
+    plain, bad = [f"w{'abcdefghij'[i // 30]}{'abcdefghij'[i // 3 % 10]}{'xyz'[i % 3]}" for i in range(300)], ["awful", "nasty", "vile", "horrid"]
     label = [i % 4 == 0 for i in range(400)]
-    texts = [" ".join(rng.choices(plain, k=60) + (rng.sample(bad, rng.randint(2, 4)) if x else [])) for x in label]
-    bags = [toxicity.words(t) for t in texts]
-    model = toxicity.fit(bags[:250], toxicity.severity(bags[:250], np.array(label[:250])))
+    return [(i, " ".join(rng.choices(plain, k=60) + (rng.sample(bad, rng.randint(2, 4)) if x else [])), int(x)) for i, x in enumerate(label)]
+
+
+def test_toxicity(spark, docs, empty):
+    data = toxic_rows()
+    held = spark.createDataFrame(data, "doc_id long, text string, toxic int").repartition(3)
+    labels = held.where("doc_id < 250").select("doc_id", "toxic")
+    odd = spark.createDataFrame([(None, 1), (300, None), (0, 0), (9999, 1)], "doc_id long, toxic int")
+    model = toxicity.train(held.select("doc_id", "text"), labels.union(odd), Workspace(spark, "t"))
     assert (np.diff(model.thresholds) > 0).all()
-    e = model.expected(np.array([model.score(t) for t in texts[250:]]))
-    assert np.mean((e >= 0.5) == np.array(label[250:])) > 0.97
+    got = {r.doc_id: r for r in toxicity.grade(held, model).collect()}
+    assert np.mean([got[i].toxic == bool(x) for i, _, x in data[250:]]) > 0.97
+    # whole texts, plain Python
+    weights = dict(zip(model.names.tolist(), model.weights.tolist()))
+    for i, t, _ in data[:50]:
+        score = sum(weights.get(xxhash.xxh64_intdigest(w) >> 1, 0.0) for w in set(t.split()))
+        want = sum(1 / (1 + math.exp(c - score)) for c in model.thresholds)
+        assert math.isclose(got[i].expected_severity, want, abs_tol=1e-9) and got[i].grade == round(want)
     got = {r.doc_id: r for r in toxicity.grade(docs, model).collect()}
-    assert len(got) == len(rows()) and not got[41].toxic
+    assert len(got) == len(rows()) and not got[41].toxic and got[40].expected_severity == got[41].expected_severity
+    assert toxicity.grade(empty, model).collect() == []
+    for d, x in ((held, labels.limit(0)), (empty, labels)):
+        none = toxicity.grade(held, toxicity.train(d, x, Workspace(spark, "t"))).collect()
+        assert len(none) == 400 and all(r.expected_severity < 1e-6 and r.grade == 0 and not r.toxic for r in none)
+    long = spark.createDataFrame([(None, "plain " * 300_000 + "vile nasty awful horrid"), (None, "plain")], "doc_id long, text string")
+    assert [r.toxic for r in toxicity.grade(long.coalesce(1), model).collect()] == [True, False]
+
+
+def test_toxicity_gradient():
+    rng = np.random.default_rng(4)
+    n, p = 40, 6
+    held = rng.random((n, p)) < 0.4
+    row, col = np.nonzero(held)
+    y, theta = rng.integers(0, 4, n), rng.normal(0, 0.5, p + 3)
+    _, grad = toxicity.loss(theta, row, col, y, p, 0.01)
+    for i in range(len(theta)):
+        step = np.eye(len(theta))[i] * 1e-5
+        slope = (toxicity.loss(theta + step, row, col, y, p, 0.01)[0] - toxicity.loss(theta - step, row, col, y, p, 0.01)[0]) / 2e-5
+        assert math.isclose(slope, grad[i], rel_tol=1e-4, abs_tol=1e-7)
 
 
 def test_token_ids(spark, docs, empty):
