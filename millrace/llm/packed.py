@@ -47,7 +47,7 @@ def pack(*columns: np.ndarray) -> bytes:
     """Arrays of equal length, their bytes put together plane by plane."""
     out = [struct.pack("<I", len(columns[0]))]
     for c in columns:
-        out.append(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes())
+        out.append(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes())
     return zstandard.compress(b"".join(out), 1)
 
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import chaining, licenses, mixing, quality, simhash, suffix, tokenbin, topk, toxicity, viterbi
+from millrace.llm import chaining, licenses, mixing, packed, quality, simhash, suffix, tokenbin, topk, toxicity, viterbi
 from millrace.llm.common import Workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size_note string, words int, block string"
@@ -357,14 +357,97 @@ def test_every_ordinary_piece_is_in_the_tables():
         assert model.pieces.index(piece) in viterbi.segment(model, code(word))[0]
 
 
-def test_passages(spark, docs):
+def covered_words(texts):
+    """Words of each text in passages shared with any earlier one: all pairs, all common k-mers."""
+    w = [packed.word_hashes((t or "").encode()) for t in texts]
+    index, cover, whole = {}, [np.zeros(len(x), bool) for x in w], set()
+    for i, x in enumerate(w):
+        if len(x) >= chaining.MIN_WORDS and x.tobytes() in whole:
+            cover[i][:] = True
+        whole.add(x.tobytes())
+        kmers = packed.kmer_hashes(x, chaining.K).tolist() if len(x) >= chaining.K else []
+        matches = {}
+        for at, h in enumerate(kmers):
+            for j, y in index.get(h, ()):
+                matches.setdefault(j, []).append((at, y))
+        for j, m in matches.items():
+            m = np.array(m)
+            for own in chaining.chains(m[:, 0], m[:, 1]):
+                x0, x1, y0, y1, equal = chaining.align(x, w[j], m[own, 0], m[own, 1])
+                if x1 - x0 >= chaining.MIN_WORDS and equal >= chaining.IDENTITY * max(x1 - x0, y1 - y0):
+                    cover[i][x0:x1] = True
+        for at, h in enumerate(kmers):
+            index.setdefault(h, []).append((i, at))
+    return cover
+
+
+def passage_texts():
+    rng = random.Random(1)
+    make = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    changed = lambda b, share: [f"x{rng.random()}" if rng.random() < share else w for w in b]
+    p, lines, fuzzy = make(200), [make(35), make(35)], make(150)
+    out = [make(30) + p[i : i + 20] + make(30) for i in range(180)]  # pieces too short to count
+    out += [make(20) + x + make(20) for x in lines] + [make(30) + fuzzy[i : i + 20] + make(10) for i in range(0, 130, 5)]
+    out += [make(50) + p + make(50) for _ in range(8)] + [make(50) + lines[0] + lines[1] + make(50) for _ in range(6)]
+    out += [make(20) + changed(fuzzy, 0.06) + make(20) for _ in range(6)]
+    for share in (0.05, 0.1, 0.15):
+        for n in (45, 60, 100):
+            for _ in range(4):
+                q = make(n)
+                out += [make(60) + q + make(60), make(60) + changed(q, share) + make(60)]
+    return [" ".join(x) for x in out]
+
+
+def test_passages_against_all_pairs(spark):
+    texts = passage_texts()
+    want = covered_words(texts)
+    got = [np.zeros(len(x), bool) for x in want]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in chaining.passages(docs, Workspace(spark, "t")).collect():
+        assert r.other_doc_id < r.doc_id and r.n_equal >= 0.8 * max(r.end_word - r.start_word, r.other_end - r.other_start)
+        got[r.doc_id][r.start_word : r.end_word] = True
+    assert not any((g & ~w).any() for g, w in zip(got, want))
+    held = [i for i, w in enumerate(want) if w.any()]
+    assert np.mean([(got[i] & want[i]).any() for i in held]) > 0.98
+    assert sum(int((g & w).sum()) for g, w in zip(got, want)) > 0.98 * sum(int(w.sum()) for w in want)
+    assert all(got[i].any() for i in range(209, 216)) and all(got[i].any() for i in range(217, 222))  # those that share p, and both lines
+
+
+def test_passages(spark, docs, empty):
     got = chaining.passages(docs, Workspace(spark, "t")).collect()
     pairs = {(r.doc_id, r.other_doc_id): r for r in got}
     assert pairs[44, 43].n_equal == 3000
     assert pairs[46, 45].end_word - pairs[46, 45].start_word >= 68
-    assert pairs[47, 45].end_word - pairs[47, 45].start_word >= 68 and pairs[47, 45].n_equal < 70
+    found = pairs.get((47, 45)) or pairs[47, 46]  # either holds it
+    assert found.end_word - found.start_word >= 68 and found.n_equal < 70
     assert all(r.doc_id > r.other_doc_id for r in got)
     assert not {r.doc_id for r in got} & set(range(40))
+    assert chaining.passages(empty, Workspace(spark, "t")).collect() == []
+
+
+def test_passages_null_and_repeated_ids_and_long_texts(spark):
+    rng = random.Random(2)
+    make = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    p, q, long = make(100), make(50), make(200_000)
+    data = [(None, make(10) + " " + p), (None, None), (3, make(20) + " " + p + " " + make(5)), (5, q + " " + make(9)), (5, make(700) + " " + q), (7, q), (7, q), (8, long), (9, long + " end"), (9, "short")]
+    got = chaining.passages(spark.createDataFrame(data, "doc_id long, text string").repartition(3), Workspace(spark, "t")).collect()
+    size = {3: {125}, 5: {59, 750}, 7: {50}, 9: {200_001}}
+    assert {(r.doc_id, r.other_doc_id) for r in got} >= {(3, None), (5, 5), (9, 8)} and {r.doc_id for r in got} == {3, 5, 7, 9}
+    assert all(r.end_word <= max(size[r.doc_id]) for r in got)
+    by = {(r.doc_id, r.other_doc_id): r for r in got}
+    assert (by[3, None].start_word, by[3, None].end_word, by[3, None].n_equal) == (20, 120, 100)
+    assert by[7, 7].n_equal == 50 and by[9, 8].n_equal == 200_000
+
+
+def test_chains():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        x, y = rng.integers(0, 200, (2, 25))
+        got = chaining.chains(x, y)
+        for own in got:
+            assert (np.diff(x[own]) > 0).all() and (np.diff(y[own]) > 0).all()
+            assert (np.diff(x[own]) <= chaining.MAX_GAP).all() and (np.diff(y[own]) <= chaining.MAX_GAP).all()
+        assert sorted(i for own in got for i in own) == list(range(25))
 
 
 def toxic_rows():
