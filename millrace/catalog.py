@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import curation, evaluation, legal, records
+from .plans import benchmark, curation, evaluation, legal, records
 
-PLANS = (evaluation, curation, legal, records)
+PLANS = (evaluation, benchmark, curation, legal, records)
 
 
 def queries():

@@ -22,8 +22,8 @@ ADDRESS_SUFFIXES = ("号", "弄", "村", "社", "屯", "队", "街", "路")
 def digit_to_chinese(c: Column) -> Column:
     """Numerals of 0 to 9999 (a digit string); others unchanged. 10 to 19 have no leading one; every empty place between
     digits in thousands and hundreds gives its own zero, so 1001 has two."""
-    n = F.try_to_number(c, F.lit("9999999999")).cast("long")
-    d = F.split(F.lit("零,一,二,三,四,五,六,七,八,九"), ",")
+    n = F.try_to_number(F.translate(c, "０１２３４５６７８９", "0123456789"), F.lit("9999999999")).cast("long")
+    d = F.array(*[F.lit(x) for x in "零一二三四五六七八九"])
 
     def digit(unit: int) -> Column:
         return F.floor(n / unit).cast("int") % 10
@@ -41,17 +41,22 @@ def digit_to_chinese(c: Column) -> Column:
     return F.when(n.isNull() | (n > 9999), c).when(n == 0, F.lit("零")).otherwise(F.concat(thousands, hundreds, tens, ones))
 
 
+def let(c: Column, body) -> Column:
+    """body(c) with c computed once, however often body refers to it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def normalize_article(c: Column) -> Column:
-    """Digit runs as numerals, with the ordinal mark in front."""
-    parts = F.regexp_extract_all(strip(c), F.lit(r"\d+|\D+"), F.lit(0))
-    out = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), digit_to_chinese(x)).otherwise(x)), "")
-    return F.when(out.startswith("第") | (out == ""), out).otherwise(F.concat(F.lit("第"), out))
+    """Digit runs (of any script's digits) as numerals, with the ordinal mark in front."""
+    parts = F.regexp_extract_all(strip(c), F.lit(r"(?U)\d+|\D+"), F.lit(0))
+    out = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"(?U)^\d"), digit_to_chinese(x)).otherwise(x)), "")
+    return let(out, lambda x: F.when(x.startswith("第"), x).otherwise(F.concat(F.lit("第"), x)))
 
 
 def normalize_label(c: Column) -> Column:
     """One of the labels, or null; bold marks and one final stop are dropped."""
-    x = sub(F.replace(strip(c), F.lit("**"), F.lit("")), "。$")
-    return F.when(x.isin(*LABELS), x)
+    x = strip(sub(F.replace(strip(c), F.lit("**"), F.lit("")), "。$"))
+    return let(x, lambda y: F.when(y.isin(*LABELS), y))
 
 
 def lenient_label(c: Column) -> Column:
@@ -134,6 +139,7 @@ def reward(answer: Column, decision: Column) -> Column:
 
 def last_date(c: Column) -> Column:
     """The last Y年M月D日 of a text as an ISO date; null without one."""
+    c = F.translate(c, "０１２３４５６７８９", "0123456789")
     d = F.try_element_at(F.regexp_extract_all(c, F.lit(r"\d{4}年\d{1,2}月\d{1,2}日"), F.lit(0)), F.lit(-1))
     p = F.regexp_extract_all(d, F.lit(r"\d+"), F.lit(0))
     return F.when(d.isNotNull(), F.concat_ws("-", F.get(p, F.lit(0)), F.lpad(F.get(p, F.lit(1)), 2, "0"), F.lpad(F.get(p, F.lit(2)), 2, "0")))

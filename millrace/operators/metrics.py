@@ -66,11 +66,16 @@ T95 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8:
        12: 2.179, 13: 2.160, 14: 2.145, 15: 2.131, 16: 2.120, 17: 2.110, 18: 2.101, 19: 2.093, 20: 2.086, 25: 2.060, 30: 2.042}
 
 
+def t95(df: Column) -> Column:
+    """Two-sided 95% point of Student's t by degrees of freedom."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in T95.items() for x in kv])[df.cast("int")], F.lit(1.96))
+
+
 def mean_se_ci(df: DataFrame, value: str) -> DataFrame:
     """n, mean, sd (0 for one run), se and the half width of the 95% interval over runs."""
     s = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
-    t = F.coalesce(F.create_map(*[F.lit(x) for kv in T95.items() for x in kv])[(F.col("n") - 1).cast("int")], F.lit(1.96))
-    return s.withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("ci95", F.when(F.col("n") > 1, t * F.col("se")).otherwise(0.0))
+    half = F.when(F.col("n") > 1, t95(F.col("n") - 1) * F.col("se")).otherwise(0.0)
+    return s.withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("ci95", half)
 
 
 def rank_average(column: str, window) -> Column:

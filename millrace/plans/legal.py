@@ -11,14 +11,14 @@ from ..sources.tables import inline, values_sql
 DIGITS = [("0", "零"), ("1", "一"), ("10", "十"), ("16", "十六"), ("20", "二十"), ("100", "一百"), ("101", "一百零一"), ("110", "一百一十"),
           ("111", "一百一十一"), ("133", "一百三十三"), ("177", "一百七十七"), ("1000", "一千"), ("1001", "一千零零一"), ("1010", "一千零一十"),
           ("1100", "一千一百"), ("9999", "九千九百九十九"), ("10000", "10000")]
-ARTICLES = [("第133条之1", "第一百三十三条之一"), ("264条", "第二百六十四条"), ("第一百七十七条第2款", "第一百七十七条第二款"), ("", "")]
+ARTICLES = [("第133条之1", "第一百三十三条之一"), ("264条", "第二百六十四条"), ("第一百七十七条第2款", "第一百七十七条第二款"), ("", "第"), ("第１３３条", "第一百三十三条")]
 DECISIONS = [
     ("依照《中华人民共和国刑事诉讼法》第十六条的规定", L.STATUTORY), ("依照刑事诉讼法第一百七十七条第一款", L.STATUTORY),
     ("依照刑事诉讼法第一百七十七条第一款、第一百七十七条第二款", None), ("其行为不构成盗窃罪", L.STATUTORY), ("没有犯罪事实", L.STATUTORY),
     ("根据第一百七十五条第四款", L.INSUFFICIENT), ("证据不足，犯罪情节轻微", L.INSUFFICIENT), ("依照第一百七十七条第二款的规定", L.DISCRETIONARY),
     ("情节较为轻微", L.DISCRETIONARY), ("免予刑事处罚", L.DISCRETIONARY), ("刑事诉讼法\n第十六条", None), ("本院认为", None)]
 LABELS = [(" **起诉**。", L.PROSECUTION, L.PROSECUTION), ("相对不起诉。。", None, L.DISCRETIONARY), ("存疑不起诉；", None, L.INSUFFICIENT),
-          ("法定不起诉", L.STATUTORY, L.STATUTORY), ("不起诉", None, None), ("", None, None)]
+          ("法定不起诉", L.STATUTORY, L.STATUTORY), (" 起诉 。", L.PROSECUTION, L.PROSECUTION), ("不起诉", None, None), ("", None, None)]
 _GOOD = "<think>x</think>【适用法条】\n刑法：第一条、第二条\n刑事诉讼法:第三条\n【审查分析】\n分析\n【最终结论】\n决定：起诉。"
 ANSWERS = [(_GOOD, "起诉", "cl:第一条|cl:第二条|cpl:第三条", "起诉。", 1.0), (_GOOD, "法定不起诉", "cl:第一条|cl:第二条|cpl:第三条", "起诉。", 0.1),
            ("【审查分析】a【最终结论】决定：起诉", "起诉", "", "起诉", 0.0), (_GOOD.replace("\n分析", ""), "起诉", "cl:第一条|cl:第二条|cpl:第三条", "起诉。", 0.0),
