@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import benchmark, curation, evaluation, legal, records
+from .plans import benchmark, curation, documents, evaluation, legal, records
 
-PLANS = (evaluation, benchmark, curation, legal, records)
+PLANS = (evaluation, benchmark, curation, documents, legal, records)
 
 
 def queries():

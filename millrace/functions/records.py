@@ -389,10 +389,16 @@ def balanced_object(c: Column) -> Column:
     return F.when((F.locate("{", c) > 0) & end["done"], F.substr(x, F.lit(1), end["length"]))
 
 
+def parses(c: Column) -> Column:
+    """Whether a text is JSON; an object with anything behind it is not."""
+    return c.isNotNull() & F.try_parse_json(c).isNotNull() & (~c.startswith("{") | F.coalesce(balanced_object(c) == strip(c), F.lit(False)))
+
+
 def json_object(c: Column) -> Column:
     """The JSON object in a model's reply, as text: the whole, the first balanced braces, or what a code fence holds; the
     first of them that parses decides, and is null if it's no object."""
-    x = strip(F.translate(legal.strip_think(c), "﻿", ""))
-    tries = (x, balanced_object(x), strip(sub(x, r"(?U)```(?:json)?\s*\n?")))
-    found = F.coalesce(*[F.when(F.try_parse_json(t).isNotNull(), t) for t in tries])
-    return F.when(found.startswith("{"), found)
+    def pick(x: Column) -> Column:
+        tries = F.array(x, balanced_object(x), strip(sub(x, r"(?U)```(?:json)?\s*\n?")))
+        return legal.let(F.get(F.filter(tries, parses), F.lit(0)), lambda found: F.when(found.startswith("{"), found))
+
+    return legal.let(strip(F.translate(legal.strip_think(c), "﻿", "")), pick)

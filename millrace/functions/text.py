@@ -89,5 +89,10 @@ def split_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "[、，,;；]"), strip), lambda x: x != "")
 
 
+def or_blank(c: Column, mark: str = "（空）") -> Column:
+    """A report's name for a missing value."""
+    return F.coalesce(F.nullif(strip(c), F.lit("")), F.lit(mark))
+
+
 def file_name(c: Column) -> Column:
     return sub(F.translate(c, "〔〕", "[]"), r'[<>:"/\\|?*]', "_")
