@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -78,8 +79,22 @@ def mean_se_ci(df: DataFrame, value: str) -> DataFrame:
     return s.withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("ci95", half)
 
 
-def rank_average(column: str, window) -> Column:
-    return F.rank().over(window.orderBy(column)) + (F.count("*").over(window.partitionBy(column)) - 1) / 2
+def with_average_rank(df: DataFrame, column: str, name: str, buckets: int = 256) -> DataFrame:
+    """df with the rank of column from 1 as name, ties sharing their average; null has no rank.
+
+    Distinct values are numbered within buckets cut at approximate quantiles, and buckets by their counts: the ranks are
+    exact wherever the cuts lie, and no task sorts the whole column.
+    """
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    cuts = values.agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)])).first()[0] or []
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
+    values = values.withColumn("_b", bucket)
+    sums = values.groupBy(F.col("_b").alias("_c")).agg(F.sum("_n").alias("_m"))  # at most `buckets` rows
+    sums = sums.select("_c", F.coalesce(F.sum("_m").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum("_n").over(W.partitionBy("_b").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = values.withColumn("_w", within).join(sums, F.col("_b") == F.col("_c")).select(
+        "_v", (F.col("_before") + F.col("_w") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
 def correlation(x: str, y: str) -> Column:

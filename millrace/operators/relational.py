@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, key: str, pos: str, empty_repeats: bool = True) -> DataFrame:
-    """The first row of each key; rows with an empty key all stay if empty_repeats."""
+    """The first row of each key; rows with an empty key all stay if empty_repeats. Null is a key like any other.
+
+    The filter on the row number alone lets each task cut its groups to one row before the shuffle; rows with an empty
+    key never enter the window.
+    """
     n = F.row_number().over(W.partitionBy(key).orderBy(pos))
-    keep = (F.col("_n") == 1) | ((F.col(key) == "") if empty_repeats else F.lit(False))
-    return df.withColumn("_n", n).where(keep).drop("_n")
+    if not empty_repeats:
+        return df.withColumn("_n", n).where("_n = 1").drop("_n")
+    empty = F.coalesce(F.col(key) == "", F.lit(False))
+    return df.where(~empty).withColumn("_n", n).where("_n = 1").drop("_n").unionByName(df.where(empty))
 
 
 def keep_last(df: DataFrame, key: str, pos: str) -> DataFrame:
@@ -64,8 +70,24 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("_h", hash_order(key, seed)).orderBy("_h", key).limit(n).drop("_h")
 
 
+#: Hexadecimal digits of a hash that name its bucket.
+HASH_DIGITS = 4
+
+
 def stratified_rank(df: DataFrame, stratum: str, key: str, seed: int = 42) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(stratum).orderBy(hash_order(key, seed), key)))
+    """df with rank, the place of a row in its stratum's hashed order; a null stratum is one, null keys come first.
+
+    Rows are numbered within buckets of equal leading digits and the buckets by their counts, so no task sorts a stratum.
+    """
+    digits = F.coalesce(F.left(hash_order(key, seed), F.lit(HASH_DIGITS)), F.lit(""))
+    own = df.withColumns({"_h": hash_order(key, seed), "_b": digits})
+    counts = own.groupBy(F.col(stratum).alias("_s"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    # a window over a stratum's buckets: at most 16 ** HASH_DIGITS + 1 rows
+    before = F.sum("_n").over(W.partitionBy("_s").orderBy("_c").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select("_s", "_c", F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = own.join(counts, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
+    n = F.row_number().over(W.partitionBy("_s", "_c").orderBy("_h", key))
+    return ranked.withColumn("rank", (F.col("_before") + n).cast("int")).select(*df.columns, "rank")
 
 
 def nested_splits(df: DataFrame, stratum: str, key: str, spec: DataFrame, seed: int = 42) -> DataFrame:

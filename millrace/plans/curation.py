@@ -20,6 +20,12 @@ def dedup_keep_first(spark, sf):
     return R.keep_first(d, "k", "doc_id")
 
 
+def dedup_normalized_text(spark, sf):
+    t = X.normalize_block(F.col("text"))
+    d = _docs(spark, sf).select("doc_id", F.when(t == "", "").otherwise(F.md5(t)).alias("k"))
+    return R.keep_first(d, "k", "doc_id")
+
+
 def dedup_keep_last(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     return R.keep_last(c, "conv_id", "turn")
@@ -235,12 +241,12 @@ SQL = {
     "text_drop_meta_lines": """select doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)),
         lambda x, i: not (i <= 3 and (contains(x, 'License') or contains(x, 'Copyright')))), chr(10))) as h from documents""",
     "text_shorten": "select doc_id, md5(case when length(text) > 100 then left(text, 100) || '...' else text end) as h from documents",
-    "split_text": "",
     "json_props_extract": "select event_id, json_extract_string(props, '$.k')::bigint as k from events",
     "chat_messages_build": """select conv_id, md5(string_agg(role || ': ' || text, chr(10) order by turn, role, text)) as h from conversations group by 1""",
     "html_links_same_host": """with p as (select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host,
           unnest(list_distinct(regexp_extract_all(html, 'href="(https?://[^"]+)"', 1))) as link from pages)
         select page_id, link from p where regexp_extract(link, '^https?://([^/]+)', 1) = host""",
 }
-del SQL["split_text"]
+SQL["dedup_normalized_text"] = f"""with n as ({SQL["text_normalize_block"]}), k as (select doc_id, case when h = md5('') then '' else h end as k from n)
+        select doc_id, k from k qualify row_number() over (partition by k order by doc_id) = 1 or k = ''"""
 QUERIES = {n: globals()[n] for n in [*SQL, "mask_email_phone", "html_to_text"]}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
@@ -67,8 +66,7 @@ def metrics_run_ci95(spark, sf):
 
 def stats_pearson_spearman(spark, sf):
     c = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("x"), F.count("*").cast("double").alias("y"))
-    w = W.partitionBy()
-    c = c.withColumn("rx", M.rank_average("x", w)).withColumn("ry", M.rank_average("y", w))
+    c = M.with_average_rank(M.with_average_rank(c, "x", "rx"), "y", "ry")
     return c.agg(F.round(M.correlation("x", "y"), 6).alias("pearson"), F.round(M.correlation("rx", "ry"), 6).alias("spearman"))
 
 
