@@ -293,7 +293,9 @@ def test_splitting_tree_is_exact(spark):
     assert 4 < np.mean(one) < 6 and len(set(one)) > 2
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block", [1 << 20, 256])
+def test_top_k(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", block)
     rng = np.random.default_rng(0)
     data = [(i, [float(x) for x in rng.normal(0, 0.1, 16)]) for i in range(300)]
     data[7] = (7, None)
@@ -310,6 +312,33 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), Workspace(spark, "t")).collect() == []
 
 
+def test_top_k_repeated_rows_short_vectors_and_extra_columns(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [2.0]), (1, [2.0]), (2, []), (None, [9.0, 9.0]), (3, [None, 1.0]), (4, [-1.0, 0.5])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, query_id string, score int")
+    got = [tuple(r) for r in topk.top_k(df, Workspace(spark, "t")).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 131072), (0, 2, 1, 131072), (0, 3, 2, 0), (0, 4, 4, 0)]
+    assert topk.top_k(df.where("vec_id = 1"), Workspace(spark, "t")).count() == 0
+
+
+def test_search_shard_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for n, dims, spread in ((1, 3, 40), (3, 4, 40), (700, 8, 6), (2000, 32, 500), (400, 16, 1 << 27)):
+        vectors = rng.integers(-spread, spread + 1, (n, dims)) + (spread // 4)
+        ids = rng.permutation(n * 2)[:n].astype(np.int64)
+        ids[n // 2 :] = ids[: n - n // 2]  # repeated ids
+        asked = np.unique(ids)[:12]
+        queries = np.stack([vectors[np.flatnonzero(ids == a)[0]] for a in asked])
+        best = topk.Best(asked, 5)
+        for at in range(0, n, 300):
+            topk.search_shard(ids[at : at + 300], vectors[at : at + 300], queries, best)
+        got = list(zip(*[c.tolist() for c in best.rows()], strict=True))
+        want = []
+        for a, q in zip(asked.tolist(), queries, strict=True):
+            found = sorted((-int(q @ v), i) for i, v in zip(ids.tolist(), vectors, strict=True) if i != a)[:5]
+            want += [(a, i, -s) for s, i in found]
+        assert got == want
+
+
 def test_sentencepiece(spark, docs, empty):
     P = pytest.importorskip("public_tokenizers")
     path = P.path("piece_bpe_32k.model")
