@@ -9,8 +9,8 @@ minimizer: the leftmost of its GRAM-byte substrings with the least hash. Equal w
 3. the different segments that share minimizers meet in a shard, whose suffix array, LCP and longest-previous-factor
    array (previous and next smaller positions in suffix order) tell which windows occur earlier.
 
-Order is (row, start), rows numbered by (doc_id, text hash). A minimizer with many different segments in one task has its windows compared one by one by a
-distributed minimum instead, and so has it in every task: no shard gathers an unbounded group.
+Order is (row, start), rows numbered by (doc_id, text hash). A minimizer with many different segments (in one task, or in
+all) has its windows compared one by one by a distributed minimum instead: no shard gathers an unbounded group.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ LENGTH, GRAM = 100, 28
 SPAN = LENGTH - GRAM + 1
 #: Different segments of one minimizer in a task beyond which it is crowded.
 CROWDED = 64
+#: Different segments of one minimizer in all tasks beyond which it is crowded, too.
+GATHERED = 4096
+#: Bytes of text for each partition of a shuffle, at most (about five times as many are shuffled).
+PART = 1 << 26
 
 _RNG = np.random.Generator(np.random.PCG64(99))
 _TABLE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -264,49 +268,58 @@ _C_SCHEMA = "key binary, doc long, start int, stop int"
 
 
 def _cover(batches):
-    """Coverage, with a null key, and windows of crowded minimizers, with their hash."""
-    held, rows, size = [], [], 0
+    """Coverage, with a null key, and windows of crowded minimizers, with their hash.
+
+    Rows come by minimizer; of the one at hand at most GATHERED different segments are held, then it counts as crowded:
+    those held and all that follow leave as windows.
+    """
+    out, rows, size = [], [], 0
+    h, crowded, firsts = None, False, {}
+
+    def windows(doc, start, data):
+        return [(k, d, s, e) for _, _, _, k, d, s, e, _ in _windows(0, 0, doc, start, data)]
+
     for b in itertools.chain(batches, [None]):
         if b is None:
-            groups, last = [held], True
+            members = [(None,) * 6]  # ends the last minimizer
         else:
             done = pc.is_in(b.column("kind"), pa.array([1, 2], pa.int32()))
-            if (out := b.filter(done).select(_C[0])).num_rows:
-                yield out
+            if (ready := b.filter(done).select(_C[0])).num_rows:
+                yield ready
             b = b.filter(pc.invert(done))
-            held += list(zip(*[b.column(c).to_pylist() for c in ("h", "kind", "doc", "start", "stop", "data")], strict=True))
-            last = False
-            cut = len(held)
-            while cut and held[cut - 1][0] == held[-1][0]:
-                cut -= 1
-            groups, held = [held[:cut]], held[cut:]
-        out = []
-        for group in groups:
-            for h, members in itertools.groupby(group, key=lambda x: x[0]):
-                crowded, firsts = False, {}
-                for _, kind, doc, start, stop, data in members:
-                    if kind == 3:  # comes before the segments
-                        crowded = True
-                    elif crowded:
-                        out += [(k, d, s, e) for _, _, _, k, d, s, e, _ in _windows(0, h, doc, start, data)]
-                    elif data not in firsts:
-                        firsts[data] = (doc, start, stop, data)
-                    else:
-                        old, new = firsts[data], (doc, start, stop, data)
-                        late = max(old, new)
-                        if old[:2] != new[:2]:
-                            out.append((None, *late[:3]))
-                        firsts[data] = min(old, new)
+            members = zip(*[b.column(c).to_pylist() for c in ("h", "kind", "doc", "start", "stop", "data")], strict=True)
+        for own, kind, doc, start, stop, data in members:
+            if own != h:
                 if len(firsts) > 1:
                     rows += firsts.values()
                     size += sum(len(x[3]) for x in firsts.values())
-                if size > 1 << 20:
+                if rows and (size > 1 << 20 or own is None):
                     out += [(None, *x) for x in _shard(rows)]
                     rows, size = [], 0
-        if last and rows:
-            out += [(None, *x) for x in _shard(rows)]
-        for at in range(0, len(out), 50_000):
-            yield emit(out[at : at + 50_000], *_C)
+                h, crowded, firsts = own, False, {}
+            if own is None:
+                continue
+            if kind == 3:  # comes before the segments
+                crowded = True
+            elif crowded:
+                out += windows(doc, start, data)
+            elif data not in firsts:
+                firsts[data] = (doc, start, stop, data)
+                if len(firsts) > GATHERED:
+                    crowded = True
+                    for d, s, _, x in firsts.values():
+                        out += windows(d, s, x)
+                    firsts = {}
+            else:
+                old, new = firsts[data], (doc, start, stop, data)
+                if old[:2] != new[:2]:
+                    out.append((None, *max(old, new)[:3]))
+                firsts[data] = min(old, new)
+            if len(out) >= 50_000:
+                yield emit(out, *_C)
+                out = []
+    for at in range(0, len(out), 50_000):
+        yield emit(out[at : at + 50_000], *_C)
 
 
 def repeated_spans(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -317,7 +330,7 @@ def repeated_spans(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFr
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, int(total * 0.03 / 100_000))
     spark = docs.sparkSession
-    n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     sent = base.select("doc", "text").mapInArrow(_find_minimizers(buckets), _A_SCHEMA).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
     places = sent.mapInArrow(_mark_repeats, "doc long, data binary").groupBy("doc").agg(F.collect_list("data").alias("places"))
     marked = base.join(places, "doc", "left").select(

@@ -96,6 +96,38 @@ def test_suffix_dedup_null_and_repeated_ids(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, left))
 
 
+@pytest.mark.parametrize("gathered", [0, 1, 3, 4096])
+def test_segments_of_crowded_minimizers(monkeypatch, gathered):
+    monkeypatch.setattr(suffix, "GATHERED", gathered)
+    rng, rows, n = random.Random(7), [], suffix.LENGTH
+    for h in range(6):
+        shared = [rng.randbytes(n + 30) for _ in range(3)]  # equal windows have equal minimizers
+        for doc in rng.sample(range(40), 5 + h):
+            data = rng.choice(shared) if rng.random() < 0.6 else rng.randbytes(20) + rng.choice(shared)[:n + 5]
+            data = bytes([h]) * 2 + data if h % 2 else data
+            rows.append((h, 0, doc, 10 * h, 10 * h + len(data) - n, data))
+        if h == 4:
+            rows.append((h, 3, 0, 0, 0, None))
+    rows.sort(key=lambda r: (r[0], -r[1]))
+    want, first = set(), {}
+    places = {(h, doc, start + j): data[j : j + n] for h, kind, doc, start, _, data in rows if not kind for j in range(len(data) - n + 1)}
+    for (h, doc, at), w in places.items():
+        first[h, w] = min(first.get((h, w), (doc, at)), (doc, at))
+    want = {(doc, at) for (h, doc, at), w in places.items() if first[h, w] != (doc, at)}
+    batches = [suffix.emit([(0, k, h, None, d, a, b, x) for h, k, d, a, b, x in rows[i : i + 4]], *suffix._B) for i in range(0, len(rows), 4)]
+    got, least, later = set(), {}, []
+    for b in suffix._cover(batches):
+        for key, doc, start, stop in zip(*[b.column(c).to_pylist() for c in suffix._C[0]], strict=True):
+            if key is None:
+                got |= {(doc, at) for at in range(start, stop + 1)}
+            else:
+                later.append((key, doc, start))
+                least[key] = min(least.get(key, (doc, start)), (doc, start))
+    assert (gathered == 4096) == (len({d for _, d, _ in later}) == 9)
+    got |= {(d, s) for k, d, s in later if least[k] != (d, s)}
+    assert got == want
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, 700, dtype=np.uint8)
