@@ -29,8 +29,9 @@ from .common import Workspace, with_small
 STRIDE, BLOCK = 128, 1 << 17
 #: Pieces of text that a worker keeps with their ids, and bytes of text that it takes at a time.
 CACHE, SLICE = 800_000, 1 << 21
-#: Ascending runs of documents that a task writes apart (each split of a file is one, if the table is in order).
-RUNS = 4096
+#: Ascending runs of documents that a task writes apart (each split of a file is one, if the table is in order), and falls
+#: within a split after which it counts as out of order and is cut no more: runs grow with splits, not with documents.
+RUNS, FALLS = 4096, 4
 
 #: A space that white space or nothing follows; the class holds all that str.isspace() does.
 _EDGE = r" [\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]| $"
@@ -289,8 +290,10 @@ def _tokenize(definition, end_id: int, vocabulary: int):
                 at = 0
                 names, splits = (b.column(k).slice(lo, hi - lo).to_pylist() for k in (0, 2))
                 for doc, split, stop in zip(names, splits, end.tolist(), strict=True):
-                    falls = bool(docs) and part < last_part and (
-                        split != last_split or docs[-1] is not None and (doc is None or doc < docs[-1]))
+                    moved = split != last_split
+                    fell = bool(docs) and docs[-1] is not None and (doc is None or doc < docs[-1])
+                    in_split = 0 if moved else in_split + fell
+                    falls = bool(docs) and part < last_part and (moved or fell and in_split <= FALLS)
                     last_split = split
                     if falls or size >= BLOCK:
                         yield block()

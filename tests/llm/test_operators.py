@@ -567,7 +567,9 @@ def test_token_ids(spark, docs, empty):
         ids = np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
         want[r[0]] = (start, len(ids) // 4, zlib.crc32(ids), ids)
         start += len(ids) // 4
-    for d in (docs, docs.coalesce(1).orderBy("doc_id")):
+    one = docs.coalesce(1)  # in order, in runs that follow or overlap each other, in many runs
+    orders = [("doc_id",), (F.col("doc_id") < 30, "doc_id"), (F.col("doc_id") % 3, "doc_id"), (F.desc("doc_id"),)]
+    for d in (docs, docs.orderBy("doc_id"), *[one.sortWithinPartitions(*o) for o in orders]):
         out = tokenbin.read_ids(spark, space, tokenbin.write_ids(d, space, path), keep_ids=True)
         assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in out.collect()} == want
     assert tokenbin.read_ids(spark, space, tokenbin.write_ids(empty, space, path)).collect() == []
