@@ -72,9 +72,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def with_small(df: DataFrame, small: DataFrame, on, how: str = "left", max_rows: int = 100_000) -> DataFrame:
-    """Join with a table that is broadcast only after its rows have been counted; a larger one is joined by shuffle."""
-    if small.limit(max_rows + 1).count() <= max_rows:
+#: Rows, and characters of JSON (about a quarter of the bytes of rows of numbers, at the least), of a table that is broadcast.
+SMALL_ROWS, SMALL_CHARS = 100_000, 16 << 20
+
+
+def with_small(df: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join with a table that is broadcast only after its rows and their lengths have been added up; a larger one is joined
+    by shuffle."""
+    head = small.limit(SMALL_ROWS + 1).select(F.length(F.to_json(F.struct("*"))).alias("n"))
+    rows, chars = head.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if rows <= SMALL_ROWS and chars <= SMALL_CHARS:
         small = F.broadcast(small)
     return df.join(small, on, how)
 

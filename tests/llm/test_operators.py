@@ -307,6 +307,16 @@ def test_mixing(spark, docs, empty):
     assert run(empty) == {}
 
 
+def test_mix_does_not_depend_on_broadcasts(spark, docs, monkeypatch):
+    def drawn():
+        found = mixing.mix(docs.select("doc_id", "source", "text"), Workspace(spark, "t"), docs_per_block=4, words_per_shard=500)
+        return sorted((r.doc_id, r.size, r.target, tuple(map(tuple, r.draws))) for r in found.collect())
+
+    small = drawn()
+    monkeypatch.setattr("millrace.llm.common.SMALL_CHARS", 0)
+    assert drawn() == small
+
+
 def test_mixed_documents_keep_words(spark, docs):
     sp = Workspace(spark, "t")
     out = mixing.mixed_documents(docs, sp, docs_per_block=3, words_per_shard=700)
