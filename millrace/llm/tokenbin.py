@@ -28,14 +28,14 @@ from .common import Workspace, with_small
 #: Ids between two bit offsets, and ids after which a block is closed.
 STRIDE, BLOCK = 128, 1 << 17
 #: Pieces of text that a worker keeps with their ids, and bytes of text that it takes at a time.
-CACHE, SLICE = 800_000, 1 << 21
+CACHE, SLICE = 800_000, 1 << 22
 #: Ascending runs of documents that a task writes apart (each split of a file is one, if the table is in order), and falls
 #: within a split after which it counts as out of order and is cut no more: runs grow with splits, not with documents.
 RUNS, FALLS = 4096, 4
 
 #: A space that white space or nothing follows; the class holds all that str.isspace() does.
 _EDGE = r" [\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]| $"
-_DOTS = {".", ","}
+_DOTS = (".", ",")
 _LINE = re.compile(r"(\S+)\n(\S+)")
 _WORKERS: dict = {}
 
@@ -107,11 +107,12 @@ class PieceTokenizer:
                 pieces = [p for p in pieces if p not in out]
             if more[k]:
                 pieces = list({*pieces, *(p for p in more[k] if p not in own)})
-            cores = [p for p in pieces if p[-1:] in _DOTS and p[-2:-1].isalpha()]
+            cores = [p for p in pieces if p.endswith(_DOTS) and p[-2:-1].isalpha()]
             if cores:
-                need = set(pieces).difference(cores)
-                need.update(p[:-1] for p in cores if p[:-1] not in own)
-                pieces = list(need)
+                stems = {p[:-1] for p in cores}
+                pieces = [p for p in pieces if not (p.endswith(_DOTS) and p[-2:-1].isalpha())]
+                stems.difference_update(pieces)
+                pieces += [p for p in stems if p not in own]
             if own is self.spaced:
                 self._many(pieces, own)
             else:
