@@ -16,7 +16,8 @@ def _docs(spark, sf):
 
 
 def dedup_keep_first(spark, sf):
-    d = _docs(spark, sf).select("doc_id", F.lower(F.left("text", F.lit(20))).alias("k"))
+    t = F.lower("text")
+    d = _docs(spark, sf).select("doc_id", F.when(t == "", "").otherwise(F.md5(t)).alias("k"))
     return R.keep_first(d, "k", "doc_id")
 
 
@@ -72,7 +73,8 @@ def resume_missing(spark, sf):
 
 
 def anti_join_balanced_sample(spark, sf):
-    used = _docs(spark, sf).where("doc_id % 7 = 0").select("doc_id")
+    """As many labelled documents of each quality, none that sample_stratified() has drawn."""
+    used = sample_stratified(spark, sf).select("doc_id")
     left = R.pending(table(spark, sf, "labels"), used, ["doc_id"])
     left = R.keep_first(left, "doc_id", F.struct("quality", "toxic"), empty_repeats=False)
     low = left.groupBy("quality").agg(F.count("*").alias("n")).agg(F.min("n").alias("k"))
@@ -191,7 +193,7 @@ def chat_messages_build(spark, sf):
 
 _WS = "[ \\t\\n\\x0b\\f\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 SQL = {
-    "dedup_keep_first": """with d as (select doc_id, lower(left(text, 20)) as k from documents)
+    "dedup_keep_first": """with d as (select doc_id, case when text = '' then '' else md5(lower(text)) end as k from documents)
         select doc_id, k from d qualify row_number() over (partition by k order by doc_id) = 1 or k = ''""",
     "dedup_keep_last": "select conv_id, max_by(role, turn) as role, max(turn) as turn from conversations group by 1",
     "dedup_ordered_union": """with d as (select md5(text) as k, doc_id as pos, source as record, lag(source) over w as b,
@@ -210,7 +212,8 @@ SQL = {
     "flagged_subset_in_order": "select doc_id, source, n_chars from documents join labels using (doc_id) where toxic = 1 order by doc_id",
     "resume_pending": "select doc_id, run_id::int as run_id from documents cross join range(3) r(run_id) where (doc_id + run_id) % 4 <> 0",
     "resume_missing": "select count(*) as missing from documents where doc_id % 50 = 0",
-    "anti_join_balanced_sample": """with l as (select * from labels where doc_id % 7 <> 0),
+    "anti_join_balanced_sample": """with u as (select doc_id from documents qualify row_number() over (partition by lang order by md5(doc_id || '|42'), doc_id) <= 25),
+          l as (select * from labels where doc_id not in (select doc_id from u)),
           r as (select doc_id, quality, (row_number() over (partition by quality order by md5(doc_id || '|42'), doc_id))::int as rank from l)
         select * from r where rank <= (select min(n) from (select count(*) as n from l group by quality))""",
     "sample_simple": "select doc_id, lang from documents order by md5(doc_id || '|42'), doc_id limit 50",
