@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import legal as L
+from ..functions import pages as P
 from ..functions import text as X
 from ..operators import relational as R
 from ..sources.tables import inline, table
@@ -176,9 +177,9 @@ def html_to_text(spark, sf):
 
 
 def html_links_same_host(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"),
-                                         F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(https?://[^"]+)"'), F.lit(1)))).alias("link"))
-    return p.where(F.regexp_extract("link", "^https?://([^/]+)", 1) == F.col("host")).select("page_id", "link")
+    """The links of each page to its own host, with or without the host written out, each once."""
+    link = P.entries(F.col("html"), F.col("url"), r"""href="(https?://[^"]+|/[^"/][^"]*)\"""")
+    return table(spark, sf, "pages").select("page_id", F.explode(link.getField("detail_url")).alias("link"))
 
 
 def json_props_extract(spark, sf):
@@ -246,9 +247,10 @@ SQL = {
     "text_shorten": "select doc_id, md5(case when length(text) > 100 then left(text, 100) || '...' else text end) as h from documents",
     "json_props_extract": "select event_id, json_extract_string(props, '$.k')::bigint as k from events",
     "chat_messages_build": """select conv_id, md5(string_agg(role || ': ' || text, chr(10) order by turn, role, text)) as h from conversations group by 1""",
-    "html_links_same_host": """with p as (select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host,
-          unnest(list_distinct(regexp_extract_all(html, 'href="(https?://[^"]+)"', 1))) as link from pages)
-        select page_id, link from p where regexp_extract(link, '^https?://([^/]+)', 1) = host""",
+    "html_links_same_host": """with p as (select page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) as root,
+          regexp_extract_all(html, 'href="(https?://[^"]+|/[^"/][^"]*)"', 1) as hrefs from pages),
+          l as (select page_id, root, unnest(list_distinct(list_transform(hrefs, lambda x: case when x[1] = '/' then root || x else x end))) as link from p)
+        select page_id, link from l where regexp_extract(link, '^https?://([^/?#]+)', 1) = regexp_extract(root, '^https?://(.+)$', 1)""",
 }
 SQL["dedup_normalized_text"] = f"""with n as ({SQL["text_normalize_block"]}), k as (select doc_id, case when h = md5('') then '' else h end as k from n)
         select doc_id, k from k qualify row_number() over (partition by k order by doc_id) = 1 or k = ''"""
