@@ -56,6 +56,11 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let the driver forget the shuffles of steps that are written, so that executors remove their files now, and not
+        whenever the driver's memory happens to be collected."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
