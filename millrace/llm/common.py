@@ -14,6 +14,9 @@ WHITE = " \t\n\x0b\x0c\r"
 #: A word, as a regular expression for Java.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Setting under which an execution's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Column of row numbers.
 ROW = "_row"
 
@@ -51,16 +54,18 @@ class Workspace:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+        """df written and read again; with release, executors remove the write's shuffle files as soon as it is done, and
+        not whenever the driver's memory happens to be collected."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true" if release else before)
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Let the driver forget the shuffles of steps that are written, so that executors remove their files now, and not
-        whenever the driver's memory happens to be collected."""
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:

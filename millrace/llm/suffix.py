@@ -337,15 +337,13 @@ def repeated_spans(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFr
         "doc", "id", F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places",
         F.octet_length("text").cast("long").alias("n_bytes"),
         F.when(F.col("places").isNull(), F.sha2("text", 256)).alias("sha256"))
-    marked = space.save(marked, "marked")
-    space.release()
+    marked = space.save(marked, "marked", release=True)
     some = marked.where("places is not null").select("doc", "text", "places")
     segments = some.mapInArrow(_segments(buckets), _B_SCHEMA)
     # a crowded minimizer's note sorts before its segments
     dealt = F.when(F.col("kind").isin(1, 2), F.xxhash64("doc", "start")).otherwise(F.col("bucket"))
     segments = segments.select("*", (-F.col("kind")).alias("o")).repartition(n_parts, dealt).sortWithinPartitions("h", "o").drop("o")
-    covered = space.save(segments.mapInArrow(_cover, _C_SCHEMA), "covered")
-    space.release()
+    covered = space.save(segments.mapInArrow(_cover, _C_SCHEMA), "covered", release=True)
     windows = covered.where("key is not null")
     least = windows.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("m"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(least, "key").where("struct(doc, start) <> m").select("doc", "start", "stop")
