@@ -484,6 +484,33 @@ def test_passages_against_all_pairs(spark):
     assert all(got[i].any() for i in range(209, 216)) and all(got[i].any() for i in range(217, 222))  # those that share p, and both lines
 
 
+def test_passages_of_every_two_documents(spark):
+    rng = random.Random(9)
+    make = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    texts, want = [], set()
+    for _ in range(12):  # all but the whole of p stands in earlier documents, in runs too short to count
+        p = make(42)
+        texts += [make(30) + p[i : i + 39] + make(30) for i in range(4)]
+        texts += [make(30) + p + make(30) for _ in range(3)]
+        n = len(texts)
+        want |= {(n - 1, n - 2), (n - 1, n - 3), (n - 2, n - 3)}
+    line, common = make(14), make(60)
+    variant = [w if i % 20 else "other" for i, w in enumerate(common)]
+    texts += [make(20) + line + make(20) for _ in range(60)]
+    first = len(texts)
+    texts += [make(20) + common + make(20) + line for _ in range(50)] + [make(20) + variant + make(9) + line for _ in range(50)]
+    a, b = make(26), make(26)
+    texts += [make(20) + x + line + y + make(20) for x, y in ((a, b), (a, make(26)), (make(26), b), (a, b))]
+    got = chaining.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3), Workspace(spark, "t")).collect()
+    pairs = {(r.doc_id, r.other_doc_id) for r in got}
+    assert want <= pairs
+    n = len(texts)
+    assert {(n - 1, n - 4), (n - 3, n - 4), (n - 1, n - 3), (n - 2, n - 4), (n - 1, n - 2)} <= pairs and (n - 2, n - 3) not in pairs
+    near = lambda i: {j for j in range(first, i) if (i, j) in pairs} | {i}
+    assert all(near(i) & near(j) for i in range(first, first + 100) for j in range(first, i))  # linked, or to one and the same
+    assert not {r.doc_id for r in got} & set(range(first - 60, first))
+
+
 def test_passages(spark, docs, empty):
     got = chaining.passages(docs, Workspace(spark, "t")).collect()
     pairs = {(r.doc_id, r.other_doc_id): r for r in got}
