@@ -511,6 +511,29 @@ def test_passages_of_every_two_documents(spark):
     assert not {r.doc_id for r in got} & set(range(first - 60, first))
 
 
+def test_links_of_frequent_seeds_grow_with_their_rows():
+    rng = np.random.default_rng(4)
+    n, width = 300, chaining.K + 2 * chaining.SIDE
+    near = np.where(rng.random((n, width)) < 0.07, rng.integers(1, 255, (n, width)), rng.integers(1, 255, width)).astype(np.uint8)
+    near[:, chaining.SIDE : chaining.SIDE + chaining.K] = [1, 2, 3, 4, 5]
+    near[::7, chaining.SIDE + chaining.K + 6 :] = 0  # texts that end soon after the seed
+    later, earlier = chaining._links(np.zeros(n, np.uint64), np.arange(n), near)
+    assert (later > earlier).all() and len(later) < 10 * n
+    partners = [{i} for i in range(n)]
+    for i, j in zip(later.tolist(), earlier.tolist()):
+        partners[i].add(j)
+        partners[j].add(i)
+    for i in range(n):  # every two that make a passage are linked, or to one and the same
+        for j in np.flatnonzero(chaining._makes_passage((near[i] == near) & (near != 0))).tolist():
+            assert partners[i] & partners[j]
+
+
+def test_seeds_of_repeated_words_are_few():
+    line = packed.word_hashes(b"is on " * 200)
+    at, _ = chaining.seeds(line)
+    assert 2 <= len(at) < 40 and at[0] < chaining.WINDOW and at[-1] >= len(line) - chaining.K - chaining.WINDOW
+
+
 def test_passages(spark, docs, empty):
     got = chaining.passages(docs, Workspace(spark, "t")).collect()
     pairs = {(r.doc_id, r.other_doc_id): r for r in got}
